@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import wraps
 
-from . import mixing, packing
+from pyspark.sql import functions as F
+
+from . import classifier, mixing, packing, page_text, pii, simhash, urls
 from .common import importable
 
 
@@ -31,8 +33,47 @@ def op7_packing(spark, sf_dir):
     return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path=tokenizer_path())
 
 
+def op1_html_extraction(spark, sf_dir):
+    return page_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op2_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: The rules of op8: verdict, host, path.
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+def op8_url_filters(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return urls.judge(pages, URL_RULES, edges=urls.page_links(pages))
+
+
+def op9_quality_classifier(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    net = classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = classifier.score(docs, net, keep=["doc_id"])
+    return scored.select(
+        "doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def op10_pii(spark, sf_dir):
+    return pii.pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries():
-    named = (op6_mixing, op7_packing)
+    named = (
+        op1_html_extraction, op2_simhash, op6_mixing, op7_packing, op8_url_filters, op9_quality_classifier, op10_pii,
+    )
     return {f.__name__: with_package(f) for f in named}
 
 

@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from . import classifier, mixing, packing, page_text, pii, simhash, urls
+from . import classifier, mixing, neargraph, packing, page_text, pii, simhash, topk, urls
 from .common import importable
 
 
@@ -19,6 +19,14 @@ def with_package(query):
     return run
 
 
+def op3_topk(spark, sf_dir):
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 50 == 0)
+
+
+def op5_neargraph(spark, sf_dir):
+    return neargraph.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_mixing(spark, sf_dir):
     return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -72,10 +80,59 @@ def op10_pii(spark, sf_dir):
 
 def queries():
     named = (
-        op1_html_extraction, op2_simhash, op6_mixing, op7_packing, op8_url_filters, op9_quality_classifier, op10_pii,
+        op1_html_extraction, op2_simhash, op3_topk, op5_neargraph, op6_mixing, op7_packing, op8_url_filters, op9_quality_classifier, op10_pii,
     )
     return {f.__name__: with_package(f) for f in named}
 
 
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: floor(256 * x::DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+#: All pairs of a label: the driver's small tables allow it, and links there are far from the threshold.
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+), u AS (
+  SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL
+    AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(v, v) > 0
+), e AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.93
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a
+), c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT v.vec_id, (SELECT count(*) FROM e WHERE e.a = v.vec_id) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN c ON v.vec_id = c.vec_id
+"""
+
+OP8_SQL = """
+WITH p AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages
+), rules(verdict, h, p) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), m AS (
+  SELECT page_id, arg_max(h || rules.p, length(h || rules.p)) AS rule, arg_max(verdict, length(h || rules.p)) AS verdict
+  FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, rules.p) GROUP BY page_id
+)
+-- These pages hold no canonical or refresh links, so that no verdict comes from an alias.
+SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m ON p.page_id = m.page_id
+"""
+
+
 def oracle_sql():
-    return {}
+    return {"op3_topk": OP3_SQL, "op5_neargraph": OP5_SQL, "op8_url_filters": OP8_SQL}

@@ -10,7 +10,6 @@ there the unfilled bins themselves are the items, packed by the same method.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,45 +74,35 @@ class WordIds:
     def __init__(self, path: str, most_words: int = 400_000):
         import re
 
+        import numpy as np
         from tokenizers import Tokenizer
 
         tokens = Tokenizer.from_file(path)
         # White space other than a single space or line end between two words.
-        self.odd = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]\Z|<\|")
+        self.odd = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]\Z|<\||\x00")
         self.encode = lambda text: tokens.encode(text, add_special_tokens=False).ids
         self.most_words = most_words
         encode, most = self.encode, most_words
+        raw = self.raw = lambda text: np.array(encode(text), "<u4").tobytes()
 
         class Table(dict):
             def __missing__(self, word):
-                ids = tuple(encode(word))
+                ids = raw(word)
                 if len(self) < most:
                     self[word] = ids
                 return ids
 
         self.table = Table()
 
-    def __call__(self, text: str):
-        import numpy as np
-
+    def __call__(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
         if not text:
-            return np.empty(0, np.uint32)
+            return b""
         if self.odd.search(text):
-            return np.array(self.encode(text), np.uint32)
-        # Each word keeps the space or line end before it; a line end is a token of its own.
-        get, out = self.table.__getitem__, []
-        lines = text.split("\n")
-        for k, line in enumerate(lines):
-            if k:
-                out.append(get("\n"))
-            words = line.split(" ")
-            out.append(get(words[0]))
-            out.extend(map(get, map(_spaced, words[1:])))
-        return np.fromiter(chain.from_iterable(out), np.uint32)
-
-
-def _spaced(word: str) -> str:
-    return " " + word
+            return self.raw(text)
+        # Each word keeps its leading space; a line end is a token of its own.
+        words = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+        return b"".join(map(self.table.__getitem__, words))
 
 
 _ENCODERS: dict[str, WordIds] = {}
@@ -133,13 +122,11 @@ class _Pack:
     def __call__(self, batches) -> Iterator:
         import zlib
 
-        import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
         ids_of, bins, task = encoder(self.path), Bins(self.size, self.most_open), TaskContext.get().partitionId()
-        fills = {}
-        end = np.array([self.end_id], np.uint32)
+        end = self.end_id.to_bytes(4, "little")
 
         def table(rows):
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names)
@@ -149,12 +136,9 @@ class _Pack:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.concatenate([ids_of(text or ""), end])
-                n = len(ids)
-                first = n % self.size or self.size
-                raw = ids.astype("<u4").tobytes()
-                at, length = 0, first
-                piece = 0
+                raw = ids_of(text or "") + end
+                n = len(raw) // 4
+                at, length, piece = 0, n % self.size or self.size, 0
                 while at < n:
                     place, offset = bins.place(length)
                     rows.append((doc_id, piece, at, length, zlib.crc32(raw[4 * at : 4 * (at + length)]), task, place, offset, None))

@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from . import classifier, mixing, neargraph, packing, page_text, pii, simhash, topk, urls
+from . import classifier, mixing, neargraph, packing, page_text, pii, simhash, suffixes, topk, urls
 from .common import importable
 
 
@@ -23,6 +23,14 @@ def op3_topk(spark, sf_dir):
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 50 == 0)
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    found = suffixes.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op5_neargraph(spark, sf_dir):
     return neargraph.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -80,7 +88,7 @@ def op10_pii(spark, sf_dir):
 
 def queries():
     named = (
-        op1_html_extraction, op2_simhash, op3_topk, op5_neargraph, op6_mixing, op7_packing, op8_url_filters, op9_quality_classifier, op10_pii,
+        op1_html_extraction, op2_simhash, op3_topk, op4_suffix_dedup, op5_neargraph, op6_mixing, op7_packing, op8_url_filters, op9_quality_classifier, op10_pii,
     )
     return {f.__name__: with_package(f) for f in named}
 

@@ -1,15 +1,354 @@
-"""Queries over the driver tables, one per operator, with their oracle SQL."""
+"""One query per operator over the test tables, with DuckDB SQL for the same rows.
+
+Queries are written as a user of the store writes them. As result columns the driver
+compares plain names, every query names its columns in order.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import catalogue
+from .functions import bulk
+from .operators import channels, contents, paths
+from .operators.changes import deleted, inserted, rows_of, updated, vector_written
+
+#: name -> (query, output columns, SQL)
+ASKED: dict[str, tuple[dict, list[str], str]] = {}
+#: name -> (function of (spark, sf_dir), SQL or None)
+BUILT: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def ask(name: str, query: dict, columns: str, sql: str) -> None:
+    ASKED[name] = (query, columns.split(), sql)
+
+
+def built(sql: str | None = None):
+    def keep(f):
+        BUILT[f.__name__] = (f, sql)
+        return f
+
+    return keep
+
+
+def as_text(df: DataFrame) -> DataFrame:
+    """Arrays of numbers as texts of millionths, which every engine writes alike."""
+
+    def text(c: str):
+        millionths = F.transform(F.col(c), lambda x: F.coalesce(F.round(x.cast("double") * 1_000_000).cast("long").cast("string"), F.lit("null")))
+        return F.array_join(millionths, ",").alias(c)
+
+    return df.select(*[text(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes])
+
+
+def sql_text(values: str) -> str:
+    """The same in DuckDB."""
+    return f"array_to_string(list_transform({values}, lambda x: coalesce(CAST(CAST(round(x::DOUBLE * 1000000) AS BIGINT) AS VARCHAR), 'null')), ',')"
+
+
+NATION = "SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region FROM nation"
+PART = "SELECT p_partkey AS id FROM part WHERE "
+ITEM = "SELECT l_orderkey AS o, l_linenumber AS n, l_quantity AS q FROM lineitem WHERE "
+ITEM_OUT = {"order": 1, "linenumber": 1, "quantity": 1}
+
+# Scans and lookups
+ask("scan_all", {"Nation": {}}, "id name region", NATION)
+ask("scan_by_base_name", {"AoTest": {}}, "id name", "SELECT r_regionkey AS id, r_name AS name FROM region")
+ask("scan_by_aid", {"2": {}}, "id name region", NATION)
+ask("scan_base_name_first_wins", {"AoSubTest": {}, "$attributes": {"name": 1}}, "name", "SELECT n_name AS name FROM nation")
+ask("by_id_int", {"Order": 7}, "id status price day priority customer", "SELECT o_orderkey AS id, o_orderstatus AS status, o_totalprice AS price, o_orderdate AS day, o_orderpriority AS priority, o_custkey AS customer FROM orders WHERE o_orderkey = 7")
+ask("by_id_string", {"Order": "7", "$attributes": {"id": 1, "totalprice": 1}}, "id price", "SELECT o_orderkey AS id, o_totalprice AS price FROM orders WHERE o_orderkey = 7")
+ask("by_id_condition", {"Customer": {"id": "11"}, "$attributes": {"id": 1, "name": 1}}, "id name", "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey = 11")
+ask("bulk_read", {"Vector": {"label": 3}, "$attributes": {"id": 1, "values": 1}}, "id values", f"SELECT vec_id AS id, {sql_text('embedding')} AS values FROM embeddings WHERE label = 3")
+ask("attributes_app_and_base_names", {"Vector": {}, "$attributes": {"vec_id": 1, "label": 1}}, "id label", "SELECT vec_id AS id, label FROM embeddings")
+ask("attributes_nested_object", {"Nation": {}, "$attributes": {"id": 1, "region": {"name": 1, "id": 1}}}, "id region region_id", "SELECT n_nationkey AS id, r_name AS region, r_regionkey AS region_id FROM nation JOIN region ON n_regionkey = r_regionkey")
+
+# Predicates
+ask("eq_string", {"Customer": {"mktsegment": "BUILDING"}, "$attributes": {"id": 1}}, "id", "SELECT c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING'")
+ask("eq_operator", {"Part": {"size": {"$eq": 7}}, "$attributes": {"id": 1}}, "id", PART + "p_size = 7")
+ask("neq", {"Part": {"size": {"$neq": 7}}, "$attributes": {"id": 1}}, "id", PART + "p_size <> 7")
+ask("lt", {"Part": {"size": {"$lt": 7}}, "$attributes": {"id": 1}}, "id", PART + "p_size < 7")
+ask("gt", {"Part": {"retailprice": {"$gt": 1500}}, "$attributes": {"id": 1}}, "id", PART + "p_retailprice > 1500")
+ask("lte", {"Part": {"size": {"$lte": 7}}, "$attributes": {"id": 1}}, "id", PART + "p_size <= 7")
+ask("gte", {"LineItem": {"quantity": {"$gte": 45}}, "$attributes": ITEM_OUT}, "o n q", ITEM + "l_quantity >= 45")
+ask("lt_negative", {"Customer": {"acctbal": {"$lt": -100.5}}, "$attributes": {"id": 1}}, "id", "SELECT c_custkey AS id FROM customer WHERE c_acctbal < -100.5")
+ask("in_ints", {"Part": {"size": {"$in": [1, 5, 9]}}, "$attributes": {"id": 1}}, "id", PART + "p_size IN (1, 5, 9)")
+ask("in_numeric_strings", {"Part": {"size": {"$in": ["1", "5", "9"]}}, "$attributes": {"id": 1}}, "id", PART + "p_size IN (1, 5, 9)")
+ask("in_strings", {"Part": {"brand": {"$in": ["Brand#11", "Brand#22"]}}, "$attributes": {"id": 1}}, "id", PART + "p_brand IN ('Brand#11', 'Brand#22')")
+ask("notin", {"Part": {"size": {"$notin": [1, 5, 9]}}, "$attributes": {"id": 1}}, "id", PART + "p_size NOT IN (1, 5, 9)")
+ask("notinset", {"Part": {"size": {"$notinset": [1, 5, 9]}}, "$attributes": {"id": 1}}, "id", PART + "p_size NOT IN (1, 5, 9)")
+ask("like_star", {"Part": {"brand": {"$like": "Brand#1*"}}, "$attributes": {"id": 1}}, "id", PART + "p_brand LIKE 'Brand#1%'")
+ask("like_qmark", {"Part": {"brand": {"$like": "Brand#?2"}}, "$attributes": {"id": 1}}, "id", PART + "p_brand LIKE 'Brand#_2'")
+ask("like_escape", {"Event": {"props": {"$like": '*_%*\\**'}}, "$attributes": {"id": 1}}, "id", "SELECT event_id AS id FROM events WHERE contains(props, '_%') AND contains(props, '*')")
+ask("notlike", {"Part": {"type": {"$notlike": "*STEEL*"}}, "$attributes": {"id": 1}}, "id", PART + "p_type NOT LIKE '%STEEL%'")
+ask("ci_eq", {"Customer": {"mktsegment": {"$eq": "building", "$options": "i"}}, "$attributes": {"id": 1}}, "id", "SELECT c_custkey AS id FROM customer WHERE lower(c_mktsegment) = 'building'")
+ask("ci_neq", {"Customer": {"mktsegment": {"$neq": "building", "$options": "i"}}, "$attributes": {"id": 1}}, "id", "SELECT c_custkey AS id FROM customer WHERE lower(c_mktsegment) <> 'building'")
+ask("ci_lt", {"Customer": {"mktsegment": {"$lt": "building", "$options": "i"}}, "$attributes": {"id": 1}}, "id", "SELECT c_custkey AS id FROM customer WHERE lower(c_mktsegment) < 'building'")
+ask("ci_gt", {"Customer": {"mktsegment": {"$gt": "building", "$options": "i"}}, "$attributes": {"id": 1}}, "id", "SELECT c_custkey AS id FROM customer WHERE lower(c_mktsegment) > 'building'")
+ask("ci_lte", {"Customer": {"mktsegment": {"$lte": "building", "$options": "i"}}, "$attributes": {"id": 1}}, "id", "SELECT c_custkey AS id FROM customer WHERE lower(c_mktsegment) <= 'building'")
+ask("ci_gte", {"Customer": {"mktsegment": {"$gte": "building", "$options": "i"}}, "$attributes": {"id": 1}}, "id", "SELECT c_custkey AS id FROM customer WHERE lower(c_mktsegment) >= 'building'")
+ask("ci_in", {"Part": {"brand": {"$in": ["brand#11", "BRAND#22"], "$options": "i"}}, "$attributes": {"id": 1}}, "id", PART + "lower(p_brand) IN ('brand#11', 'brand#22')")
+ask("ci_notin", {"Part": {"brand": {"$options": "i", "$notin": ["brand#11", "BRAND#22"]}}, "$attributes": {"id": 1}}, "id", PART + "lower(p_brand) NOT IN ('brand#11', 'brand#22')")
+ask("ci_like", {"Part": {"type": {"$like": "*steel*", "$options": "i"}}, "$attributes": {"id": 1}}, "id", PART + "lower(p_type) LIKE '%steel%'")
+ask("ci_notlike", {"Part": {"type": {"$notlike": "*steel*", "$options": "i"}}, "$attributes": {"id": 1}}, "id", PART + "lower(p_type) NOT LIKE '%steel%'")
+LABELLED = "SELECT d.doc_id AS id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE "
+ask("is_null", {"Document": {"label:OUTER.quality": {"$null": 1}}, "$attributes": {"id": 1}}, "id", LABELLED + "quality IS NULL")
+ask("not_null", {"Document": {"label:OUTER.quality": {"$notnull": 1}}, "$attributes": {"id": 1}}, "id", LABELLED + "quality IS NOT NULL")
+ask("null_on_string", {"Event": {"props": {"$null": 1}}, "$attributes": {"id": 1}}, "id", "SELECT event_id AS id FROM events WHERE props IS NULL")
+ask("between_halfopen_num", {"LineItem": {"quantity": {"$between": [10, 20]}}, "$attributes": ITEM_OUT}, "o n q", ITEM + "l_quantity >= 10 AND l_quantity < 20")
+ask("between_halfopen_date", {"Order": {"orderdate": {"$between": ["1995-01-01T00:00:00Z", "1995-02-01T00:00:00Z"]}}, "$attributes": {"id": 1}}, "id", "SELECT o_orderkey AS id FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1995-02-01'")
+ask("date_compact", {"Order": {"measurement_begin": {"$gte": "199606", "$lt": "19970101000000"}}, "$attributes": {"id": 1}}, "id", "SELECT o_orderkey AS id FROM orders WHERE o_orderdate >= TIMESTAMP '1996-06-01' AND o_orderdate < TIMESTAMP '1997-01-01'")
+ask("and_list", {"Part": {"$and": [{"size": {"$gt": 10}}, {"brand": "Brand#11"}]}, "$attributes": {"id": 1}}, "id", PART + "p_size > 10 AND p_brand = 'Brand#11'")
+ask("or_list", {"Part": {"$or": [{"size": 1}, {"size": {"$gte": 45}, "brand": "Brand#11"}]}, "$attributes": {"id": 1}}, "id", PART + "p_size = 1 OR (p_size >= 45 AND p_brand = 'Brand#11')")
+ask("and_or_nested", {"LineItem": {"$and": [{"quantity": {"$gte": 5}}, {"$or": [{"returnflag": "R"}, {"order": {"$or": [{"orderstatus": "F"}, {"orderpriority": {"$like": "1-*"}}]}}]}]}, "$attributes": ITEM_OUT}, "o n q", "SELECT l_orderkey AS o, l_linenumber AS n, l_quantity AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 5 AND (l_returnflag = 'R' OR o_orderstatus = 'F' OR o_orderpriority LIKE '1-%')")
+ask("not_expr", {"Part": {"$not": {"size": {"$gt": 10}, "brand": "Brand#11"}}, "$attributes": {"id": 1}}, "id", PART + "NOT (p_size > 10 AND p_brand = 'Brand#11')")
+ask("multi_op", {"Part": {"size": {"$gte": 10, "$lt": 20, "$neq": 15}}, "$attributes": {"id": 1}}, "id", PART + "p_size >= 10 AND p_size < 20 AND p_size <> 15")
+ask("options_reset_in_or", {"Customer": {"mktsegment": {"$options": "i", "$or": [{"$eq": "building"}, {"$eq": "machinery", "$options": "i"}]}}, "$attributes": {"id": 1}}, "id", "SELECT c_custkey AS id FROM customer WHERE c_mktsegment = 'building' OR lower(c_mktsegment) = 'machinery'")
+ask("path_filter_2hop", {"LineItem": {"order.customer.mktsegment": "MACHINERY", "quantity": {"$gt": 30}}, "$attributes": ITEM_OUT}, "o n q", "SELECT l_orderkey AS o, l_linenumber AS n, l_quantity AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'MACHINERY' AND l_quantity > 30")
+ask("fk_filter", {"Order": {"customer": 11}, "$attributes": {"id": 1, "customer.id": 1}}, "id customer", "SELECT o_orderkey AS id, o_custkey AS customer FROM orders WHERE o_custkey = 11")
+ask("fk_filter_2hop", {"LineItem": {"order.test": {"$in": [11, 12, 13]}}, "$attributes": ITEM_OUT}, "o n q", "SELECT l_orderkey AS o, l_linenumber AS n, l_quantity AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey IN (11, 12, 13)")
+ask("to_many_predicate", {"Region": {"nations": {"$in": [3, 7, 9]}}, "$attributes": {"name": 1}}, "name", "SELECT r_name AS name FROM region JOIN nation ON n_regionkey = r_regionkey WHERE n_nationkey IN (3, 7, 9)")
+ask("enum_name", {"Label": {"quality": "good"}, "$attributes": {"document": 1, "toxic": 1}}, "id toxic", "SELECT doc_id AS id, toxic FROM labels WHERE quality = 1")
+ask("enum_index", {"Label": {"quality": 0}, "$attributes": {"document": 1}}, "id", "SELECT doc_id AS id FROM labels WHERE quality = 0")
+ask("enum_in", {"Label": {"quality": {"$in": ["bad", 1]}, "toxic": "toxic"}, "$attributes": {"document": 1}}, "id", "SELECT doc_id AS id FROM labels WHERE quality IN (0, 1) AND toxic = 1")
+ask("enum_as_string", {"Label": {}, "$attributes": {"document": 1, "quality": {"$options": "e"}}}, "id quality", "SELECT doc_id AS id, CASE quality WHEN 0 THEN 'bad' WHEN 1 THEN 'good' END AS quality FROM labels")
+ask("unit_condition", {"Part": {"retailprice": {"$gte": 15, "$unit": 2}}, "$attributes": {"id": 1}}, "id", PART + "p_retailprice >= 1500")
+ask("unit_attribute", {"Part": {}, "$attributes": {"id": 1, "retailprice": {"$unit": 3}}}, "id price", "SELECT p_partkey AS id, p_retailprice * (1.0::DOUBLE / 0.5) + (0.0::DOUBLE - 10.0) / 0.5 AS price FROM part")
+ask("unit_aggregate", {"Part": {}, "$attributes": {"brand": 1, "retailprice": {"$max": 1, "$unit": 2}}, "$groupby": {"brand": 1}}, "brand price", "SELECT p_brand AS brand, max(p_retailprice * (1.0::DOUBLE / 100.0)) AS price FROM part GROUP BY 1")
+ask("nested_select", {"LineItem": {"part": {"$in": {"Part": {"brand": "Brand#11"}, "$attributes": {"id": 1}}}}, "$attributes": ITEM_OUT}, "o n q", ITEM + "l_partkey IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#11')")
+ask("nested_select_not_in", {"Customer": {"id": {"$notin": {"Event": {}, "$attributes": {"customer": {"$distinct": 1}}}}}, "$attributes": {"id": 1}}, "id", "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)")
+
+# Joins
+ask("inner_join", {"Document": {}, "$attributes": {"id": 1, "label.quality": 1}}, "id quality", "SELECT d.doc_id AS id, quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
+ask("outer_join", {"Document": {}, "$attributes": {"id": 1, "label:OUTER.quality": 1}}, "id quality", "SELECT d.doc_id AS id, quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+ask("inverse_join", {"Nation": {}, "$attributes": {"name": 1, "customers.name": 1, "customers.id": 1}}, "nation customer id", "SELECT n_name AS nation, c_name AS customer, c_custkey AS id FROM nation JOIN customer ON c_nationkey = n_nationkey")
+ask("inverse_outer", {"Customer": {"id": {"$lt": 200}}, "$attributes": {"id": 1, "events:OUTER.id": 1}}, "id event", "SELECT c_custkey AS id, event_id AS event FROM customer LEFT JOIN events ON user_id = c_custkey WHERE c_custkey < 200")
+ask("chain_4hop", {"LineItem": {"order.customer.nation.region.name": "ASIA"}, "$attributes": {"quantity": {"$sum": 1, "$count": 1}, "order.customer.nation.name": 1}, "$groupby": {"order.customer.nation.name": 1}}, "q n nation", "SELECT round(sum(l_quantity), 4) AS q, count(*) AS n, n_name AS nation FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' GROUP BY n_name")
+ask("prefix_joined_once", {"Order": {"customer.mktsegment": "BUILDING"}, "$attributes": {"id": 1, "customer.name": 1, "customer.nation.name": 1}, "$orderby": {"customer.name": 1, "id": 1}}, "id customer nation", "SELECT o_orderkey AS id, c_name AS customer, n_name AS nation FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING'")
+ask("two_ways_to_one_entity", {"LineItem": {"quantity": {"$gte": 49}}, "$attributes": {"order": 1, "supplier.nation.name": 1, "order.customer.nation.name": 1}}, "o supplier customer", "SELECT l_orderkey AS o, a.n_name AS supplier, b.n_name AS customer FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON s_nationkey = a.n_nationkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation b ON c_nationkey = b.n_nationkey WHERE l_quantity >= 49")
+ask("many_to_many", {"Supplier": {"id": {"$lte": 3}}, "$attributes": {"id": 1, "parts.brand": {"$dcount": 1}}, "$groupby": {"id": 1}}, "id brands", "SELECT s_suppkey AS id, count(DISTINCT p_brand) AS brands FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE s_suppkey <= 3 GROUP BY 1")
+
+# Aggregates, groups, order, limits
+ask("count", {"LineItem": {"returnflag": "R"}, "$attributes": {"quantity": {"$count": 1}}}, "n", "SELECT count(*) AS n FROM lineitem WHERE l_returnflag = 'R'")
+ask("count_rows_with_nulls", {"Document": {}, "$attributes": {"label:OUTER.quality": {"$count": 1, "$dcount": 1}}}, "n d", "SELECT count(*) AS n, count(DISTINCT quality) AS d FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+ask("dcount", {"LineItem": {}, "$attributes": {"part": {"$dcount": 1}, "returnflag": {"$dcount": 1}}}, "parts flags", "SELECT count(DISTINCT l_partkey) AS parts, count(DISTINCT l_returnflag) AS flags FROM lineitem")
+ask("min_max", {"Order": {}, "$attributes": {"totalprice": {"$min": 1, "$max": 1}, "orderdate": {"$min": 1, "$max": 1}}}, "a b c d", "SELECT min(o_totalprice) AS a, max(o_totalprice) AS b, min(o_orderdate) AS c, max(o_orderdate) AS d FROM orders")
+ask("distinct", {"Part": {}, "$attributes": {"brand": {"$distinct": 1}}}, "brand", "SELECT DISTINCT p_brand AS brand FROM part")
+ask("distinct_several", {"Part": {}, "$attributes": {"brand": {"$distinct": 1}, "size": 1}}, "brand size", "SELECT DISTINCT p_brand AS brand, p_size AS size FROM part")
+ask("groupby_names", {"Part": {}, "$attributes": {"brand": 1}, "$groupby": {"brand": 1}, "$orderby": {"brand": 0}}, "brand", "SELECT p_brand AS brand FROM part GROUP BY 1")
+ask("groupby_agg", {"LineItem": {}, "$attributes": {"returnflag": 1, "linestatus": 1, "quantity": {"$count": 1, "$min": 1, "$max": 1}, "part": {"$dcount": 1}}, "$groupby": {"returnflag": 1, "linestatus": 1}}, "flag status n low high parts", "SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n, min(l_quantity) AS low, max(l_quantity) AS high, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1, 2")
+ask("groupby_path", {"Order": {}, "$attributes": {"customer": {"mktsegment": 1, "nation": {"name": 1}}, "id": {"$count": 1}}, "$groupby": {"customer": {"mktsegment": 1}, "customer.nation.name": 1}}, "segment nation n", "SELECT c_mktsegment AS segment, n_name AS nation, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2")
+ask("groupby_id_with_dependent_names", {"Order": {}, "$attributes": {"customer.id": 1, "customer.name": 1, "customer.nation.name": 1, "id": {"$count": 1}}, "$groupby": {"customer.id": 1}, "$orderby": {"customer.name": 1}}, "id customer nation n", "SELECT c_custkey AS id, c_name AS customer, n_name AS nation, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3")
+ask("orderby_desc_limit", {"Order": {}, "$attributes": {"id": 1, "totalprice": 1}, "$orderby": {"totalprice": 0, "id": 1}, "$options": {"$rowlimit": 20}}, "id price", "SELECT o_orderkey AS id, o_totalprice AS price FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+ask("orderby_path_unselected", {"Order": {}, "$attributes": {"id": 1}, "$orderby": {"customer.name": 0, "id": 1}, "$options": {"$rowlimit": 15}}, "id", "SELECT o_orderkey AS id FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY c_name DESC, o_orderkey LIMIT 15")
+ask("orderby_nulls", {"Document": {}, "$attributes": {"id": 1, "label:OUTER.quality": 1}, "$orderby": {"label:OUTER.quality": 1, "id": 1}, "$options": {"$rowlimit": 30}}, "id quality", "SELECT d.doc_id AS id, quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY quality NULLS FIRST, d.doc_id LIMIT 30")
+ask("rowskip", {"Part": {}, "$attributes": {"id": 1, "name": 1}, "$orderby": {"id": 1}, "$options": {"$rowlimit": 10, "$rowskip": 25}}, "id name", "SELECT p_partkey AS id, p_name AS name FROM part ORDER BY 1 LIMIT 10 OFFSET 25")
+ask("seqlimit", {"Vector": {}, "$attributes": {"id": 1, "values": 1}, "$options": {"$seqlimit": 3}}, "id values", f"SELECT vec_id AS id, {sql_text('embedding[1:3]')} AS values FROM embeddings")
+ask("seqskip", {"Vector": {}, "$attributes": {"id": 1, "values": 1}, "$options": {"$seqlimit": 4, "$seqskip": 60}}, "id values", f"SELECT vec_id AS id, {sql_text('embedding[61:64]')} AS values FROM embeddings")
+ask("seqskip_past_end", {"Vector": {"id": {"$lt": 20}}, "$attributes": {"id": 1, "values": 1}, "$options": {"$seqskip": 1000}}, "id values", f"SELECT vec_id AS id, {sql_text('embedding[1001:2000]')} AS values FROM embeddings WHERE vec_id < 20")
+ask("point_indices", {"Vector": {"values": {"$gt": 0.25}}, "$attributes": {"id": 1, "values": {"$point": 1}}}, "id at", f"SELECT vec_id AS id, {sql_text('list_filter(list_transform(embedding, lambda x, i: CASE WHEN x > 0.25::FLOAT THEN CAST(i - 1 AS INTEGER) END), lambda k: k IS NOT NULL)')} AS at FROM embeddings WHERE len(list_filter(embedding, lambda x: x > 0.25::FLOAT)) > 0")
+ask("point_between", {"Vector": {"values": {"$gte": 0.1, "$lt": 0.2}, "label": 1}, "$attributes": {"id": 1, "values": {"$point": 1}}}, "id at", f"SELECT vec_id AS id, {sql_text('list_filter(list_transform(embedding, lambda x, i: CASE WHEN x >= 0.1::FLOAT AND x < 0.2::FLOAT THEN CAST(i - 1 AS INTEGER) END), lambda k: k IS NOT NULL)')} AS at FROM embeddings WHERE label = 1 AND len(list_filter(embedding, lambda x: x >= 0.1::FLOAT)) > 0 AND len(list_filter(embedding, lambda x: x < 0.2::FLOAT)) > 0")
+
+# Listed queries
+ask("text_scan", {"entity": "Nation"}, "id name region", NATION)
+ask("text_like", {"entity": "Part", "conditions": ["brand = Brand#1*"], "attributes": ["id"]}, "id", PART + "p_brand LIKE 'Brand#1%'")
+ask("text_notlike", {"entity": "Part", "conditions": ["brand <> Brand#1*"], "attributes": ["id"]}, "id", PART + "p_brand NOT LIKE 'Brand#1%'")
+ask("text_ops", {"entity": "Part", "conditions": ["size >= 10", "$and", "size < 30", "$and", "brand != Brand#11", "$and", "retailprice <= 1600", "$and", "size <> 12"], "attributes": ["id", "size"]}, "id size", "SELECT p_partkey AS id, p_size AS size FROM part WHERE p_size >= 10 AND p_size < 30 AND p_brand <> 'Brand#11' AND p_retailprice <= 1600 AND p_size <> 12")
+ask("text_parens", {"entity": "Part", "conditions": ["$open", "size = 1", "$or", "size = 2", "$close", "$and", "$not", "brand == Brand#11"], "attributes": ["id"]}, "id", PART + "(p_size = 1 OR p_size = 2) AND NOT p_brand = 'Brand#11'")
+ask("text_precedence", {"entity": "Part", "conditions": ["size = 1", "$or", "size = 2", "$and", "$not", "brand == Brand#11"], "attributes": ["id"]}, "id", PART + "p_size = 1 OR (p_size = 2 AND NOT p_brand = 'Brand#11')")
+ask("text_ci", {"entity": "Customer", "conditions": ["$ci", "mktsegment = build*", "$or", "mktsegment == machinery", "$cs", "$or", "mktsegment == machinery"], "attributes": ["id"]}, "id", "SELECT c_custkey AS id FROM customer WHERE lower(c_mktsegment) LIKE 'build%' OR lower(c_mktsegment) = 'machinery'")
+ask("text_outer", {"entity": "Document", "attributes": ["id", "OUTER(label).quality"], "rowMaxCount": 100000}, "id quality", "SELECT d.doc_id AS id, quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+ask("text_order", {"entity": "Order", "attributes": ["id", "customer.name"], "orderBy": ["DESCENDING(totalprice)", "ASCENDING(id)"], "rowMaxCount": 12, "rowSkipCount": 3}, "id customer", "SELECT o_orderkey AS id, c_name AS customer FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 12 OFFSET 3")
+ask("text_agg", {"entity": "Order", "attributes": ["customer.mktsegment", "COUNT(id)", "MAX(totalprice)", "DCOUNT(customer)"], "groupBy": ["customer.mktsegment"], "orderBy": ["customer.mktsegment"]}, "segment n high customers", "SELECT c_mktsegment AS segment, count(*) AS n, max(o_totalprice) AS high, count(DISTINCT o_custkey) AS customers FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+ask("text_seq_default", {"entity": "Vector", "attributes": ["id", "values"], "seqSkipCount": 2}, "id values", f"SELECT vec_id AS id, {sql_text('embedding[3:52]')} AS values FROM embeddings")
+
+
+def asked(name: str):
+    query, columns, _ = ASKED[name]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return as_text(catalogue.store(spark, sf_dir).query(query).toDF(*columns))
+
+    return run
+
+
+def rounded(query: dict, columns: str, digits: int = 4):
+    """A query with floating sums and averages, rounded as its SQL is: their last digits depend on the order of rows."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = catalogue.store(spark, sf_dir).query(query).toDF(*columns.split())
+        return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+    return run
+
+
+for name, query, columns, sql in (
+    ("sum", {"LineItem": {}, "$attributes": {"returnflag": 1, "quantity": {"$sum": 1}}, "$groupby": {"returnflag": 1}}, "flag q", "SELECT l_returnflag AS flag, round(sum(l_quantity), 4) AS q FROM lineitem GROUP BY 1"),
+    ("avg", {"LineItem": {}, "$attributes": {"returnflag": 1, "extendedprice": {"$avg": 1}}, "$groupby": {"returnflag": 1}}, "flag p", "SELECT l_returnflag AS flag, round(avg(l_extendedprice), 4) AS p FROM lineitem GROUP BY 1"),
+    ("stddev", {"LineItem": {}, "$attributes": {"returnflag": 1, "quantity": {"$stddev": 1}}, "$groupby": {"returnflag": 1}}, "flag s", "SELECT l_returnflag AS flag, round(stddev_samp(l_quantity), 4) AS s FROM lineitem GROUP BY 1"),
+    ("global_aggregate", {"LineItem": {}, "$attributes": {"quantity": {"$min": 1, "$max": 1, "$avg": 1, "$count": 1}}}, "a b c n", "SELECT min(l_quantity) AS a, max(l_quantity) AS b, round(avg(l_quantity), 4) AS c, count(*) AS n FROM lineitem"),
+    ("flagship", {"LineItem": {"order.customer.mktsegment": "MACHINERY", "shipdate": {"$gte": "1996-01-01T00:00:00.000Z"}}, "$attributes": {"returnflag": 1, "quantity": {"$sum": 1}}, "$groupby": {"returnflag": 1}}, "flag q", "SELECT l_returnflag AS flag, round(sum(l_quantity), 4) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'MACHINERY' AND l_shipdate >= TIMESTAMP '1996-01-01' GROUP BY 1"),
+    ("text_stddev", {"entity": "LineItem", "attributes": ["linestatus", "STDDEV(quantity)", "SUM(tax)"], "groupBy": ["linestatus"]}, "status s t", "SELECT l_linestatus AS status, round(stddev_samp(l_quantity), 4) AS s, round(sum(l_tax), 4) AS t FROM lineitem GROUP BY 1"),
+):
+    BUILT[name] = (rounded(query, columns), sql)
+BUILT["chain_4hop"] = (rounded(ASKED["chain_4hop"][0], "q n nation"), ASKED.pop("chain_4hop")[2])
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return BUILT["flagship"][0](spark, sf_dir)
+
+
+@built("SELECT r_regionkey AS id, array_to_string(list(n_nationkey ORDER BY n_nationkey), ',') AS nations FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
+def relation_ids(spark, sf_dir):
+    found = catalogue.store(spark, sf_dir).query({"Region": {}, "$attributes": {"id": 1, "nations": 1}})
+    return found.select("id", F.array_join(F.col("nations").cast("array<string>"), ",").alias("nations"))
+
+
+@built("SELECT p_partkey AS id, (SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey) AS n FROM part")
+def relation_ids_many_to_many(spark, sf_dir):
+    found = catalogue.store(spark, sf_dir).query({"Part": {}, "$attributes": {"id": 1, "makers": 1}})
+    return found.select("id", F.size("makers").cast("long").alias("n"))
+
+
+@built("SELECT c_nationkey AS id, c_custkey AS related FROM customer WHERE c_nationkey IN (1, 2)")
+def related_instances(spark, sf_dir):
+    return catalogue.store(spark, sf_dir).related("Nation", "customers", [1, 2])
+
+
+@built("SELECT p_partkey AS id, p_name AS name FROM part WHERE p_name LIKE '%1%'")
+def instances_by_pattern(spark, sf_dir):
+    return catalogue.store(spark, sf_dir).instances("Part", "*1*").select(F.col("partkey").alias("id"), "name")
+
+
+@built("SELECT c_mktsegment AS segment, count(*) AS n FROM customer WHERE c_acctbal > 500 GROUP BY 1")
+def sql_with_parameters(spark, sf_dir):
+    store = catalogue.store(spark, sf_dir)
+    return store.sql("SELECT mktsegment AS segment, count(*) AS n FROM Customer WHERE acctbal > :least GROUP BY 1", least=500)
+
+
+@built("SELECT o_orderkey AS id, o_totalprice AS totalprice FROM orders ORDER BY 2, 1 LIMIT 10 OFFSET 10")
+def keyed_page(spark, sf_dir):
+    store = catalogue.store(spark, sf_dir)
+    query = {"Order": {}, "$attributes": {"id": 1, "totalprice": 1}}
+    last = store.page(query, ["totalprice", "id"], None, 10).orderBy(F.desc("totalprice"), F.desc("id")).first()
+    return store.page(query, ["totalprice", "id"], [last["totalprice"], last["id"]], 10)
+
+
+@built("SELECT vec_id AS id, embedding[8] AS value FROM embeddings")
+def value_matrix_point(spark, sf_dir):
+    return channels.point(catalogue.store(spark, sf_dir).entity("Vector"), 7, "embedding").select(F.col("vec_id").alias("id"), "value")
+
+
+@built("SELECT label, CAST(k AS INTEGER) AS row, vec_id AS channel, embedding[k + 1] AS value FROM embeddings, range(5, 15) t(k)")
+def value_matrix_block(spark, sf_dir):
+    vectors = catalogue.store(spark, sf_dir).entity("Vector")
+    return channels.block(vectors, 5, 10, "label", "vec_id", "embedding")
+
+
+@built("SELECT label, CAST(k AS INTEGER) AS row, a.embedding[k + 1] AS first, b.embedding[k + 1] AS second FROM (SELECT label, embedding FROM embeddings JOIN (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY 1) USING (label, vec_id)) a JOIN (SELECT label, embedding FROM embeddings JOIN (SELECT label, max(vec_id) AS vec_id FROM embeddings GROUP BY 1) USING (label, vec_id)) b USING (label), range(64) t(k)")
+def value_matrix_table(spark, sf_dir):
+    vectors = catalogue.store(spark, sf_dir).entity("Vector")
+    ends = vectors.groupBy("label").agg(F.min("vec_id").alias("a"), F.max("vec_id").alias("b")).withColumnRenamed("label", "l")
+    named = vectors.join(ends, F.col("label") == F.col("l")).withColumn("name", F.when(F.col("vec_id") == F.col("a"), "first").when(F.col("vec_id") == F.col("b"), "second"))
+    return channels.table(named, ["first", "second"], group="label", values="embedding")
+
+
+@built("SELECT label, max(len(embedding)) AS n_rows, count(*) AS n_columns FROM embeddings GROUP BY 1")
+def value_matrix_counts(spark, sf_dir):
+    return channels.counts(catalogue.store(spark, sf_dir).entity("Vector"), "label", "embedding")
+
+
+@built(f"SELECT vec_id AS id, {sql_text('list_transform(embedding[1:8], lambda v, i: CASE WHEN i IN (3, 6) THEN NULL ELSE v END)')} AS values FROM embeddings")
+def flag_masking(spark, sf_dir):
+    vectors = catalogue.store(spark, sf_dir).entity("Vector")
+    # The last two values lie beyond the flags and are valid.
+    flags = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.when(i % 3 == 0, 6).otherwise(15).cast("smallint"))
+    return as_text(vectors.select(F.col("vec_id").alias("id"), bulk.masked(F.slice("embedding", 1, 8), flags).alias("values")))
+
+
+@built(f"SELECT vec_id AS id, {sql_text('list_transform(range(5), lambda i: vec_id + i * 0.5::DOUBLE)')} AS implicit, {sql_text('list_transform(embedding[1:3], lambda v: 2.0::DOUBLE + 4.0::DOUBLE * v::DOUBLE)')} AS raw FROM embeddings")
+def calculated_channels(spark, sf_dir):
+    vectors = catalogue.store(spark, sf_dir).entity("Vector")
+    implicit = bulk.linear(F.array(F.col("vec_id").cast("double"), F.lit(0.5)), F.lit(5))
+    raw = bulk.scaled(F.slice("embedding", 1, 3).cast("array<double>"), F.array(F.lit(2.0), F.lit(4.0)))
+    return as_text(vectors.select(F.col("vec_id").alias("id"), implicit.alias("implicit"), raw.alias("raw")))
+
+
+@built("SELECT item_id AS id, CAST(octet_length(encode(text)) AS INTEGER) AS length, hex(substr(text, 11, 20)) AS data FROM benchmark WHERE octet_length(encode(text)) = length(text)")
+def binary_chunk(spark, sf_dir):
+    store = catalogue.store(spark, sf_dir)
+    plain = store.tables("benchmark").where(F.octet_length("text") == F.length("text"))
+    found = contents.chunk(store.model, store.tables.with_tables({"benchmark": plain}), "BenchmarkItem", "text", 10, 20)
+    return found.withColumn("data", F.hex("data"))
+
+
+@built("SELECT c_custkey AS id, '/[Region]' || r_name || '/[Nation]' || n_name || '/[Customer]' || c_name AS path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def instance_path_create(spark, sf_dir):
+    store = catalogue.store(spark, sf_dir)
+    return paths.created(store.model, store.tables, "Customer").withColumn("path", F.regexp_replace("path", r"\\(.)", "$1"))
+
+
+@built("SELECT 'Nation' AS entity, n_nationkey AS id FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' AND n_name = (SELECT min(n_name) FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA')")
+def instance_path_resolve(spark, sf_dir):
+    store = catalogue.store(spark, sf_dir)
+    name = store.query({"Nation": {"region.name": "ASIA"}, "$attributes": {"name": {"$min": 1}}}).first()[0]
+    return paths.resolved(store.model, store.tables, f"/[Region]ASIA/[Nation]{name}")
+
+
+NEW = {"id": [900001, 900002], "name": ["added a", "added b"], "nation": [3, None]}
+
+
+@built("SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer UNION ALL VALUES (900001, 'added a', 3, NULL), (900002, 'added b', NULL, NULL)")
+def insert_instances(spark, sf_dir):
+    store = catalogue.store(spark, sf_dir)
+    e = store.model.entity("Customer")
+    rows = inserted(store.model, e, store.tables("customer"), rows_of(spark, store.model, e, NEW))
+    return rows.select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+
+
+@built("SELECT c_custkey, CASE c_custkey WHEN 3 THEN 'three' WHEN 5 THEN NULL ELSE c_name END AS c_name, c_acctbal FROM customer")
+def update_instances(spark, sf_dir):
+    store = catalogue.store(spark, sf_dir)
+    e = store.model.entity("Customer")
+    rows = updated(store.model, e, store.tables("customer"), rows_of(spark, store.model, e, {"id": [3, 5], "name": ["three", None]}))
+    return rows.select("c_custkey", "c_name", "c_acctbal")
+
+
+@built("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (2, 4, 8)")
+def delete_instances(spark, sf_dir):
+    store = catalogue.store(spark, sf_dir)
+    ids = spark.createDataFrame([(x,) for x in (2, 4, 8)], "id long")
+    return deleted(store.model, store.model.entity("Customer"), store.tables("customer"), ids).select("c_custkey", "c_name")
+
+
+@built(f"SELECT vec_id AS id, {sql_text('CASE WHEN vec_id = 4 THEN embedding[1:2]::DOUBLE[] || [9.5, 8.5]::DOUBLE[] || embedding[5:64]::DOUBLE[] ELSE embedding::DOUBLE[] END')} AS values FROM embeddings")
+def write_vector_update(spark, sf_dir):
+    store = catalogue.store(spark, sf_dir)
+    rows = vector_written(store.model, store.model.entity("Vector"), store.tables("embeddings"), 4, "values", [9.5, 8.5], 2, "UPDATE")
+    return as_text(rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("values")))
+
+
+@built("SELECT n_nationkey AS id, n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
+def matrix_round_trip(spark, sf_dir):
+    """A result encoded by entity, and its columns put back into rows."""
+    store = catalogue.store(spark, sf_dir)
+    made = store.matrices({"Nation": {}, "$attributes": {"id": 1, "name": 1, "region.name": 1}})
+    columns = [next(v for k, v in c["values"].items() if k != "dataType") for m in made["matrices"] for c in m["columns"]]
+    return spark.createDataFrame(list(zip(*columns)), "id int, name string, region string")
+
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+@built("SELECT 'Nation' AS entity, n AS name FROM (VALUES ('nationkey'), ('name')) t(n)")
+def model_listing(spark, sf_dir):
+    entity = next(e for e in catalogue.model().to_dict()["entities"] if e["name"] == "Nation")
+    return spark.createDataFrame([("Nation", a["name"]) for a in entity["attributes"]], "entity string, name string")
 
 
-def queries():
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: asked(name) for name in ASKED} | {name: f for name, (f, _) in BUILT.items()}
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, _, sql) in ASKED.items()} | {name: sql for name, (_, sql) in BUILT.items() if sql}

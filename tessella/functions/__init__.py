@@ -1 +1 @@
-
+"""Column functions: text patterns, stored dates, units, enumerations and bulk data."""

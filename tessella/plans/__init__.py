@@ -1 +1 @@
-
+"""From queries to lazy DataFrames."""

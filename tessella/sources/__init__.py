@@ -1 +1 @@
-
+"""Where the rows of a store come from."""

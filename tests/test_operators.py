@@ -213,7 +213,7 @@ def test_paths(store):
     assert made[10] == "/[TestBed]CFMA-L8;2.1/[Step]s10;1" and made[11] == "/[TestBed]CFMA-L8;2.1/[Step]s11" and made[13] == "/[Step]s13;1"
     for key in (10, 11, 12):
         assert [tuple(r) for r in paths.resolved(store.model, store.tables, made[key]).collect()] == [("Step", key)]
-    assert paths.parsed("/[A\\]b]x\\/y\;z;v1") == [("A]b", "x/y;z", "v1")]
+    assert paths.parsed(r"/[A\]b]x\/y\;z;v1") == [("A]b", "x/y;z", "v1")]
     for bad in ("", "x", "/A", "/[A]b/"):
         with pytest.raises(BadSyntax):
             paths.parsed(bad)

@@ -14,7 +14,7 @@ from ..sources.tables import Tables
 
 #: Fixed value: characters that a backslash takes as themselves in a segment.
 SPECIAL = re.compile(r"([\\/\[\];])")
-SEGMENT = re.compile(r"\[((?:[^\\\]]|\\.)*)\]((?:[^\;/]|\\.)*)(?:;((?:[^\\/]|\\.)*))?")
+SEGMENT = re.compile(r"\[((?:[^\\\]]|\\.)*)\]((?:[^\\;/]|\\.)*)(?:;((?:[^\\/]|\\.)*))?")
 MOST_STEPS = 32
 
 

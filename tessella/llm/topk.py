@@ -107,8 +107,8 @@ def _tile(k: int):
         if not len(points) or not len(queries):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         # Into floor(256 x) of doubles, exact up to 2**53.
-        p, q = (np.floor(256 * np.stack(list(x["v"])).astype(np.float64)) for x in (points, queries))
-        rows = search(points["id"].to_numpy(), p, queries["id"].to_numpy(), q, queries["floor"].to_numpy(), k)
+        p, q = (np.floor(256 * np.stack(list(x)).astype(np.float64)) for x in (points["v"], queries["q"]))
+        rows = search(points["id"].to_numpy(), p, queries["query_id"].to_numpy(), q, queries["floor"].to_numpy(), k)
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     return run
@@ -130,7 +130,10 @@ def top_k(vectors: DataFrame, is_query, *, k=5, id_col="vec_id", vector_col="emb
         return base.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     shards, blocks = -(-n // shard_rows), -(-n_queries // block_rows)
     sharded = base.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("dim", F.size("v"))
-    blocked = base.where(is_query).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("dim", F.size("v"))
+    # Own names on the query side: both sides come from one table.
+    blocked = base.where(is_query).select(
+        F.col("id").alias("query_id"), F.col("v").alias("q"), F.size("v").alias("dim"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block")
+    )
     tile = ["dim", "shard", "block"]
 
     def wave(points: DataFrame, queries: DataFrame) -> DataFrame:
@@ -142,13 +145,13 @@ def top_k(vectors: DataFrame, is_query, *, k=5, id_col="vec_id", vector_col="emb
     if shards > 1:
         first = staged(first, "first")
         kth = first.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") == k)
-        bounded = blocked.join(kth, F.col("id") == F.col("query_id"), "left").withColumn("floor", F.coalesce(F.col("least").cast("double"), F.lit(float("-inf"))))
+        bounded = blocked.join(kth, "query_id", "left").withColumn("floor", F.coalesce(F.col("least").cast("double"), F.lit(float("-inf"))))
         # A long of more than 53 bits may round up as a double.
         bounded = bounded.withColumn("floor", F.when(F.abs("floor") >= 2.0**53, F.col("floor") - F.abs("floor") * 1e-15).otherwise(F.col("floor")))
         others = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
         second = wave(
             sharded.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where(home != F.col("shard")),
-            bounded.withColumn("shard", others).where(home != F.col("shard")).select("id", "v", "block", "dim", "shard", "floor"),
+            bounded.withColumn("shard", others).where(home != F.col("shard")).select("query_id", "q", "block", "dim", "shard", "floor"),
         )
         first = first.unionAll(second)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

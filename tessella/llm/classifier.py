@@ -25,8 +25,12 @@ def halves(text: bytes) -> int:
     return (len(text) + WIDTH - 1) // HALF + 1
 
 
-def pooled_halves(data: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Max of each filter over the windows that start in each half-chunk of data."""
+def pooled_halves(data: np.ndarray, table: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Max of each filter over the windows that start in each half-chunk of data.
+
+    last: half-chunks that end a text; nothing of the next text reaches into them.
+    """
+    beyond, blank = (WIDTH - 1) // STRIDE, table[:, 0].sum(0)
     n = len(data) // HALF
     out = np.empty((n, table.shape[2]), np.float32)
     data = np.concatenate([data, np.zeros(WIDTH, np.uint8)])
@@ -37,7 +41,10 @@ def pooled_halves(data: np.ndarray, table: np.ndarray) -> np.ndarray:
         total = table[0].take(part[0:size:STRIDE], axis=0)
         for j in range(1, WIDTH):
             total += table[j].take(part[j : j + size : STRIDE], axis=0)
-        out[k : k + step] = total.reshape(size // HALF, HALF // STRIDE, -1).max(1)
+        total = total.reshape(size // HALF, HALF // STRIDE, -1)
+        # The windows that run over the end hold padding alone.
+        total[last[k : k + step], -beyond:] = blank
+        out[k : k + step] = total.max(1)
     return out
 
 
@@ -66,8 +73,10 @@ class Network:
     def features(self, texts: list[bytes]) -> np.ndarray:
         """For each text: the mean, smallest and largest logit of its chunks, and its length."""
         data, sizes = laid_out(texts)
-        pooled = pooled_halves(data, self.table)
         ends = np.cumsum(sizes)
+        last = np.zeros(len(data) // HALF, bool)
+        last[ends - 1] = True
+        pooled = pooled_halves(data, self.table, last)
         # A chunk is two half-chunks in a row of one text; a text of one half is a chunk.
         nxt = np.minimum(np.arange(len(pooled)) + 1, len(pooled) - 1)
         nxt[ends - 1] = ends - 1

@@ -71,7 +71,7 @@ ask("eq_string", {"Customer": {"mktsegment": "BUILDING"}, "$attributes": {"id":
 ask("eq_operator", {"Part": {"size": {"$eq": 7}}, "$attributes": {"id": 1}}, "id", PART + "p_size = 7")
 ask("neq", {"Part": {"size": {"$neq": 7}}, "$attributes": {"id": 1}}, "id", PART + "p_size <> 7")
 ask("lt", {"Part": {"size": {"$lt": 7}}, "$attributes": {"id": 1}}, "id", PART + "p_size < 7")
-ask("gt", {"Part": {"retailprice": {"$gt": 1500}}, "$attributes": {"id": 1}}, "id", PART + "p_retailprice > 1500")
+ask("gt", {"Part": {"retailprice": {"$gt": 950}}, "$attributes": {"id": 1}}, "id", PART + "p_retailprice > 950")
 ask("lte", {"Part": {"size": {"$lte": 7}}, "$attributes": {"id": 1}}, "id", PART + "p_size <= 7")
 ask("gte", {"LineItem": {"quantity": {"$gte": 45}}, "$attributes": ITEM_OUT}, "o n q", ITEM + "l_quantity >= 45")
 ask("lt_negative", {"Customer": {"acctbal": {"$lt": -100.5}}, "$attributes": {"id": 1}}, "id", "SELECT c_custkey AS id FROM customer WHERE c_acctbal < -100.5")
@@ -82,8 +82,8 @@ ask("notin", {"Part": {"size": {"$notin": [1, 5, 9]}}, "$attributes": {"id": 1}}
 ask("notinset", {"Part": {"size": {"$notinset": [1, 5, 9]}}, "$attributes": {"id": 1}}, "id", PART + "p_size NOT IN (1, 5, 9)")
 ask("like_star", {"Part": {"brand": {"$like": "Brand#1*"}}, "$attributes": {"id": 1}}, "id", PART + "p_brand LIKE 'Brand#1%'")
 ask("like_qmark", {"Part": {"brand": {"$like": "Brand#?2"}}, "$attributes": {"id": 1}}, "id", PART + "p_brand LIKE 'Brand#_2'")
-ask("like_escape", {"Event": {"props": {"$like": '*_%*\\**'}}, "$attributes": {"id": 1}}, "id", "SELECT event_id AS id FROM events WHERE contains(props, '_%') AND contains(props, '*')")
-ask("notlike", {"Part": {"type": {"$notlike": "*STEEL*"}}, "$attributes": {"id": 1}}, "id", PART + "p_type NOT LIKE '%STEEL%'")
+ask("like_escape", {"Document": {"text": {"$like": "*%%% *\\**"}}, "$attributes": {"id": 1}}, "id", "SELECT doc_id AS id FROM documents WHERE text LIKE '%!%!%!% %*%' ESCAPE '!'")
+ask("notlike", {"Part": {"type": {"$notlike": "*MALL*"}}, "$attributes": {"id": 1}}, "id", PART + "p_type NOT LIKE '%MALL%'")
 ask("ci_eq", {"Customer": {"mktsegment": {"$eq": "building", "$options": "i"}}, "$attributes": {"id": 1}}, "id", "SELECT c_custkey AS id FROM customer WHERE lower(c_mktsegment) = 'building'")
 ask("ci_neq", {"Customer": {"mktsegment": {"$neq": "building", "$options": "i"}}, "$attributes": {"id": 1}}, "id", "SELECT c_custkey AS id FROM customer WHERE lower(c_mktsegment) <> 'building'")
 ask("ci_lt", {"Customer": {"mktsegment": {"$lt": "building", "$options": "i"}}, "$attributes": {"id": 1}}, "id", "SELECT c_custkey AS id FROM customer WHERE lower(c_mktsegment) < 'building'")
@@ -92,8 +92,8 @@ ask("ci_lte", {"Customer": {"mktsegment": {"$lte": "building", "$options": "i"}}
 ask("ci_gte", {"Customer": {"mktsegment": {"$gte": "building", "$options": "i"}}, "$attributes": {"id": 1}}, "id", "SELECT c_custkey AS id FROM customer WHERE lower(c_mktsegment) >= 'building'")
 ask("ci_in", {"Part": {"brand": {"$in": ["brand#11", "BRAND#22"], "$options": "i"}}, "$attributes": {"id": 1}}, "id", PART + "lower(p_brand) IN ('brand#11', 'brand#22')")
 ask("ci_notin", {"Part": {"brand": {"$options": "i", "$notin": ["brand#11", "BRAND#22"]}}, "$attributes": {"id": 1}}, "id", PART + "lower(p_brand) NOT IN ('brand#11', 'brand#22')")
-ask("ci_like", {"Part": {"type": {"$like": "*steel*", "$options": "i"}}, "$attributes": {"id": 1}}, "id", PART + "lower(p_type) LIKE '%steel%'")
-ask("ci_notlike", {"Part": {"type": {"$notlike": "*steel*", "$options": "i"}}, "$attributes": {"id": 1}}, "id", PART + "lower(p_type) NOT LIKE '%steel%'")
+ask("ci_like", {"Part": {"type": {"$like": "*mall*", "$options": "i"}}, "$attributes": {"id": 1}}, "id", PART + "lower(p_type) LIKE '%mall%'")
+ask("ci_notlike", {"Part": {"type": {"$notlike": "*mall*", "$options": "i"}}, "$attributes": {"id": 1}}, "id", PART + "lower(p_type) NOT LIKE '%mall%'")
 LABELLED = "SELECT d.doc_id AS id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE "
 ask("is_null", {"Document": {"label:OUTER.quality": {"$null": 1}}, "$attributes": {"id": 1}}, "id", LABELLED + "quality IS NULL")
 ask("not_null", {"Document": {"label:OUTER.quality": {"$notnull": 1}}, "$attributes": {"id": 1}}, "id", LABELLED + "quality IS NOT NULL")
@@ -115,7 +115,7 @@ ask("enum_name", {"Label": {"quality": "good"}, "$attributes": {"document": 1, "
 ask("enum_index", {"Label": {"quality": 0}, "$attributes": {"document": 1}}, "id", "SELECT doc_id AS id FROM labels WHERE quality = 0")
 ask("enum_in", {"Label": {"quality": {"$in": ["bad", 1]}, "toxic": "toxic"}, "$attributes": {"document": 1}}, "id", "SELECT doc_id AS id FROM labels WHERE quality IN (0, 1) AND toxic = 1")
 ask("enum_as_string", {"Label": {}, "$attributes": {"document": 1, "quality": {"$options": "e"}}}, "id quality", "SELECT doc_id AS id, CASE quality WHEN 0 THEN 'bad' WHEN 1 THEN 'good' END AS quality FROM labels")
-ask("unit_condition", {"Part": {"retailprice": {"$gte": 15, "$unit": 2}}, "$attributes": {"id": 1}}, "id", PART + "p_retailprice >= 1500")
+ask("unit_condition", {"Part": {"retailprice": {"$gte": 9.5, "$unit": 2}}, "$attributes": {"id": 1}}, "id", PART + "p_retailprice >= 950")
 ask("unit_attribute", {"Part": {}, "$attributes": {"id": 1, "retailprice": {"$unit": 3}}}, "id price", "SELECT p_partkey AS id, p_retailprice * (1.0::DOUBLE / 0.5) + (0.0::DOUBLE - 10.0) / 0.5 AS price FROM part")
 ask("unit_aggregate", {"Part": {}, "$attributes": {"brand": 1, "retailprice": {"$max": 1, "$unit": 2}}, "$groupby": {"brand": 1}}, "brand price", "SELECT p_brand AS brand, max(p_retailprice * (1.0::DOUBLE / 100.0)) AS price FROM part GROUP BY 1")
 ask("nested_select", {"LineItem": {"part": {"$in": {"Part": {"brand": "Brand#11"}, "$attributes": {"id": 1}}}}, "$attributes": ITEM_OUT}, "o n q", ITEM + "l_partkey IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#11')")
@@ -156,7 +156,7 @@ ask("point_between", {"Vector": {"values": {"$gte": 0.1, "$lt": 0.2}, "label": 1
 ask("text_scan", {"entity": "Nation"}, "id name region", NATION)
 ask("text_like", {"entity": "Part", "conditions": ["brand = Brand#1*"], "attributes": ["id"]}, "id", PART + "p_brand LIKE 'Brand#1%'")
 ask("text_notlike", {"entity": "Part", "conditions": ["brand <> Brand#1*"], "attributes": ["id"]}, "id", PART + "p_brand NOT LIKE 'Brand#1%'")
-ask("text_ops", {"entity": "Part", "conditions": ["size >= 10", "$and", "size < 30", "$and", "brand != Brand#11", "$and", "retailprice <= 1600", "$and", "size <> 12"], "attributes": ["id", "size"]}, "id size", "SELECT p_partkey AS id, p_size AS size FROM part WHERE p_size >= 10 AND p_size < 30 AND p_brand <> 'Brand#11' AND p_retailprice <= 1600 AND p_size <> 12")
+ask("text_ops", {"entity": "Part", "conditions": ["size >= 10", "$and", "size < 30", "$and", "brand != Brand#11", "$and", "retailprice <= 960", "$and", "size <> 12"], "attributes": ["id", "size"]}, "id size", "SELECT p_partkey AS id, p_size AS size FROM part WHERE p_size >= 10 AND p_size < 30 AND p_brand <> 'Brand#11' AND p_retailprice <= 960 AND p_size <> 12")
 ask("text_parens", {"entity": "Part", "conditions": ["$open", "size = 1", "$or", "size = 2", "$close", "$and", "$not", "brand == Brand#11"], "attributes": ["id"]}, "id", PART + "(p_size = 1 OR p_size = 2) AND NOT p_brand = 'Brand#11'")
 ask("text_precedence", {"entity": "Part", "conditions": ["size = 1", "$or", "size = 2", "$and", "$not", "brand == Brand#11"], "attributes": ["id"]}, "id", PART + "p_size = 1 OR (p_size = 2 AND NOT p_brand = 'Brand#11')")
 ask("text_ci", {"entity": "Customer", "conditions": ["$ci", "mktsegment = build*", "$or", "mktsegment == machinery", "$cs", "$or", "mktsegment == machinery"], "attributes": ["id"]}, "id", "SELECT c_custkey AS id FROM customer WHERE lower(c_mktsegment) LIKE 'build%' OR lower(c_mktsegment) = 'machinery'")
@@ -218,9 +218,9 @@ def related_instances(spark, sf_dir):
     return catalogue.store(spark, sf_dir).related("Nation", "customers", [1, 2])
 
 
-@built("SELECT p_partkey AS id, p_name AS name FROM part WHERE p_name LIKE '%1%'")
+@built("SELECT p_partkey AS id, p_name AS name FROM part WHERE p_name LIKE '%ring%'")
 def instances_by_pattern(spark, sf_dir):
-    return catalogue.store(spark, sf_dir).instances("Part", "*1*").select(F.col("partkey").alias("id"), "name")
+    return catalogue.store(spark, sf_dir).instances("Part", "*ring*").select(F.col("partkey").alias("id"), "name")
 
 
 @built("SELECT c_mktsegment AS segment, count(*) AS n FROM customer WHERE c_acctbal > 500 GROUP BY 1")

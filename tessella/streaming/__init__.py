@@ -1 +1 @@
-
+"""Nothing streams: a query is one request over tables as they stand, and its result can be paged by key."""

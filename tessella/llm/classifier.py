@@ -2,8 +2,8 @@
 
 A document's bytes are cut into overlapping chunks that cover all of it. Learned
 filters over windows of bytes slide through every chunk, their responses are
-max-pooled within it, and a hidden layer turns them into the chunk's logit. The
-chunks' logits, pooled over the document, are combined into one probability.
+max-pooled within it, and a hidden layer turns them and the chunk's length into its
+logit. The chunks' logits, pooled over the document, are combined into one probability.
 """
 
 from __future__ import annotations
@@ -60,15 +60,19 @@ class Network:
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.table = (rng.standard_normal((WIDTH, 256, FILTERS)) * 0.3).astype(np.float32)
-        self.w1 = (rng.standard_normal((FILTERS, HIDDEN)) / FILTERS**0.5).astype(np.float32)
+        self.w1 = (rng.standard_normal((FILTERS + 1, HIDDEN)) / FILTERS**0.5).astype(np.float32)
         self.b1 = np.zeros(HIDDEN, np.float32)
         self.w2 = (rng.standard_normal(HIDDEN) / HIDDEN**0.5).astype(np.float32)
         self.b2 = np.zeros(1, np.float32)
         self.shift, self.combine = 0.0, np.zeros(5)
         self.prior: float | None = None
 
-    def chunk_logits(self, pooled: np.ndarray) -> np.ndarray:
-        return np.tanh((pooled - self.shift) @ self.w1 + self.b1) @ self.w2 + self.b2[0]
+    def inputs(self, pooled: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The hidden layer's inputs: pooled responses, and how long the chunk is."""
+        return np.concatenate([pooled - self.shift, (np.log1p(lengths) - 5)[:, None].astype(np.float32)], 1)
+
+    def chunk_logits(self, pooled: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        return np.tanh(self.inputs(pooled, lengths) @ self.w1 + self.b1) @ self.w2 + self.b2[0]
 
     def features(self, texts: list[bytes]) -> np.ndarray:
         """For each text: the mean, smallest and largest logit of its chunks, and its length."""
@@ -80,7 +84,9 @@ class Network:
         # A chunk is two half-chunks in a row of one text; a text of one half is a chunk.
         nxt = np.minimum(np.arange(len(pooled)) + 1, len(pooled) - 1)
         nxt[ends - 1] = ends - 1
-        logits = self.chunk_logits(np.maximum(pooled, pooled[nxt])).astype(np.float64)
+        begun = np.arange(len(pooled)) - np.repeat(ends - sizes, sizes)
+        lengths = np.clip(np.repeat([len(t) for t in texts], sizes) - begun * HALF, 0, 2 * HALF)
+        logits = self.chunk_logits(np.maximum(pooled, pooled[nxt]), lengths).astype(np.float64)
         keep = np.ones(len(logits), bool)
         keep[(ends - 1)[sizes > 1]] = False
         logits, counts = logits[keep], np.maximum(sizes - 1, 1)
@@ -99,7 +105,8 @@ class Network:
 
 
 def train(texts: list[bytes], labels: np.ndarray, *, epochs=6, batch=256, rate=0.01, most_chunks=12, seed=7) -> Network:
-    """Fits a network. Each text gives at most most_chunks chunks, spread over all of it."""
+    """Fits a network. Each text gives at most most_chunks chunks, spread over all of it, and two short pieces:
+    few of the texts to learn from are short, but short ones are to be judged as well."""
     net, rng = Network(seed), np.random.default_rng(seed)
     if not len(labels) or labels.min() == labels.max():
         net.prior = float(labels[0]) if len(labels) else 0.5
@@ -109,9 +116,15 @@ def train(texts: list[bytes], labels: np.ndarray, *, epochs=6, batch=256, rate=0
     for k, text in enumerate(texts):
         n = max(halves(text) - 1, 1)
         for at in range(n) if n <= most_chunks else np.linspace(0, n - 1, most_chunks).astype(int):
-            chunks.append(text[at * HALF : at * HALF + span].ljust(span, b"\0"))
+            chunks.append(text[at * HALF : at * HALF + span])
+            of.append(k)
+        for n in rng.integers(8, 250, 2).tolist():
+            at = int(rng.integers(0, max(1, len(text) - n)))
+            at = text.rfind(b" ", 0, at) + 1
+            chunks.append(text[at : at + n])
             of.append(k)
-    data = np.frombuffer(b"".join(chunks), np.uint8).reshape(-1, span)
+    lengths = np.array([min(len(c), 2 * HALF) for c in chunks])
+    data = np.frombuffer(b"".join(c.ljust(span, b"\0") for c in chunks), np.uint8).reshape(-1, span)
     y, share = labels[of].astype(np.float32), np.bincount(of)[of].astype(np.float32)
     weight = 1 / share**0.5
     # Both classes weigh the same to the filters; the last layer is fitted to the true shares.
@@ -142,16 +155,17 @@ def train(texts: list[bytes], labels: np.ndarray, *, epochs=6, batch=256, rate=0
             pooled = np.take_along_axis(total, best[:, None], 1)[:, 0]
             if step == 1:
                 net.shift = float(pooled.mean())
-            hidden = np.tanh((pooled - net.shift) @ net.w1 + net.b1)
+            given = net.inputs(pooled, lengths[rows])
+            hidden = np.tanh(given @ net.w1 + net.b1)
             logit = hidden @ net.w2 + net.b2[0]
             d = (1 / (1 + np.exp(-logit)) - y[rows]) * weight[rows] / n
             d_hidden = np.outer(d, net.w2) * (1 - hidden**2)
-            d_pooled = d_hidden @ net.w1.T
+            d_pooled = d_hidden @ net.w1[:FILTERS].T
             table = np.empty_like(net.table)
             for j in range(WIDTH):
                 byte = np.take_along_axis(x, best * STRIDE + j, 1).astype(np.int64)
                 table[j] = np.bincount((byte * FILTERS + np.arange(FILTERS)).ravel(), d_pooled.ravel(), 256 * FILTERS).reshape(256, FILTERS)
-            grads = {"w1": (pooled - net.shift).T @ d_hidden, "b1": d_hidden.sum(0), "w2": hidden.T @ d, "b2": d.sum(keepdims=True)}
+            grads = {"w1": given.T @ d_hidden, "b1": d_hidden.sum(0), "w2": hidden.T @ d, "b2": d.sum(keepdims=True)}
             for name, grad in (grads | {"table": table}).items():
                 adam(name, grad.astype(np.float32))
         rate *= 0.7

@@ -198,33 +198,31 @@ def _grouped(joined: Joined, out, names, order, keys) -> tuple[DataFrame, list[C
             node = node.to_one_of
         return False
 
-    df = joined.df.groupBy(*[k.column.alias(f"k{i}") for i, k in enumerate(keys)])
-    made, final, order_by = [], [], []
+    # What follows from a key is one more key: the groups are the same, and aggregation stays hashed.
+    grouped, made, final, order_by = [k.column.alias(f"k{i}") for i, k in enumerate(keys)], [], [], []
     for n, (w, target, column) in zip(names, out):
+        key = of_key(target)
         if w.aggregate in AGGREGATES:
             made.append(AGGREGATES[w.aggregate](column).alias(n))
-            final.append(F.col(f"`{n}`"))
-        elif key := of_key(target):
-            if w.unit or w.options:
-                made.append(F.any_value(column).alias(n))
-                final.append(F.col(f"`{n}`"))
-            else:
-                final.append(F.col(key).alias(n))
-        elif follows(target.node):
-            made.append(F.any_value(column).alias(n))
-            final.append(F.col(f"`{n}`"))
+        elif key and not w.unit and not w.options:
+            final.append(F.col(key).alias(n))
+            continue
+        elif key or follows(target.node):
+            grouped.append(column.alias(n))
         else:
             raise QueryError(f"{w.path} is neither grouped nor aggregated")
+        final.append(F.col(f"`{n}`"))
     for i, (path, up, target) in enumerate(order):
         if key := of_key(target):
             order_by.append(_directed(F.col(key), up))
         elif same := [n for n, (w, _, _) in zip(names, out) if w.path == path and w.aggregate in AGGREGATES]:
             order_by.append(_directed(F.col(f"`{same[0]}`"), up))
         elif follows(target.node):
-            made.append(F.any_value(target.column).alias(f"o{i}"))
+            grouped.append(target.column.alias(f"o{i}"))
             order_by.append(_directed(F.col(f"o{i}"), up))
         else:
             raise QueryError(f"cannot order groups by {path}")
+    df = joined.df.groupBy(*grouped)
     df = df.agg(*made) if made else df.agg(F.lit(1).alias("one"))
     if order_by:
         df = df.orderBy(*order_by)

@@ -232,8 +232,9 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", width=
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest id stays.
 
-    Of rows that repeat that id one stays. Columns are those of docs.
+    Of rows that repeat that id one stays; rows with a null id all stay, as no group can
+    name one of them. Columns are those of docs.
     """
     id_col = options.get("id_col", "doc_id")
     keep = near_duplicates(docs, **options).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(keep, id_col, "left_semi").dropDuplicates([id_col])
+    return docs.join(keep, id_col, "left_semi").dropDuplicates([id_col]).unionAll(docs.where(F.col(id_col).isNull()))

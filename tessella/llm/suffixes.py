@@ -107,7 +107,8 @@ class Scan:
             p, e = own[np.concatenate([[0], cut])], hi + self.window
             h = (s[e] - s[lo]) * self.down[lo] + (p - lo).astype(np.uint64) * MIX + (e - lo).astype(np.uint64) * np.uint64(BASE)
             doc = np.searchsorted(offsets[first:last] - at, lo, side="right") - 1 + first
-            yield at, v[p] >> np.uint64(16), self.mixed(h) >> np.uint64(24), lo + at, hi + at, doc
+            # The smallest hashes are small: mixed once more, their leading bits are even.
+            yield at, self.mixed(v[p] + np.uint64(BASE)) >> np.uint64(16), self.mixed(h) >> np.uint64(24), lo + at, hi + at, doc
 
     def all_segments(self, buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         parts = [x[1:] for x in self.segments(buf, offsets)]

@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import catalogue
+from . import catalogue, sample
 from .functions import bulk
 from .operators import channels, contents, paths
-from .operators.changes import deleted, inserted, rows_of, updated, vector_written
+from .operators.changes import children, deleted, inserted, related, rows_of, updated, vector_written
 
 #: name -> (query, output columns, SQL)
 ASKED: dict[str, tuple[dict, list[str], str]] = {}
@@ -346,6 +346,64 @@ def model_listing(spark, sf_dir):
     return spark.createDataFrame([("Nation", a["name"]) for a in entity["attributes"]], "entity string, name string")
 
 
+# What the test tables have no data for is asked of the sample store.
+
+
+@built("SELECT * FROM (VALUES ('a', 'DT_LONG', '42'), ('b', 'DT_STRING', 'text'), ('c', 'DT_DOUBLE', '1.5'), ('d', 'DT_DATE', '2020-01-02 00:00:00'), ('e', 'DT_LONG', NULL)) t(name, datatype, value)")
+def attribute_as_own_type(spark, sf_dir):
+    rows = sample.store(spark).query({"Parameter": {}, "$attributes": {"name": 1, "pvalue": {"$options": "u"}}})
+    v = F.col("pvalue")
+    first = F.coalesce(*[F.get(v[arm], F.lit(0)).cast("string") for arm in ("lng", "str", "dbl", "ts")])
+    return rows.select("name", v["datatype"].alias("datatype"), first.alias("value"))
+
+
+@built("SELECT * FROM (VALUES (2, '5000000,6000000,7000000,8000000'), (3, '12000000,14000000'), (4, '1000000,1500000,2000000,2500000')) t(id, values)")
+def calculated_by_representation(spark, sf_dir):
+    rows = sample.store(spark).query({"Channel": {"id": {"$in": [2, 3, 4]}}, "$attributes": {"id": 1, "Doubles": {"$calculated": 1}}})
+    return as_text(rows.toDF("id", "values").withColumn("id", F.col("id").cast("int")))
+
+
+@built("SELECT * FROM (VALUES ('s11', 's10', NULL), ('s12', 's11', 's10'), ('s13', 's12', 's11')) t(a, b, c)")
+def recursive_relation(spark, sf_dir):
+    query = {"Step": {}, "$attributes": {"Name": 1, "Parent.Name": 1, "Parent.Parent:OUTER.Name": 1}}
+    return sample.store(spark).query(query).toDF("a", "b", "c")
+
+
+@built("SELECT * FROM (VALUES (1, 'DT_FLOAT', '-10000000000,-10000000000'), (2, 'DT_LONG', '2000000,3000000'), (3, 'DT_STRING', NULL), (4, 'DT_DATE', NULL)) t(id, datatype, numbers)")
+def values_of_own_type(spark, sf_dir):
+    rows = sample.store(spark).query({"Channel": {}, "$attributes": {"id": 1, "values": 1}, "$options": {"$seqlimit": 2, "$seqskip": 1}})
+    v = F.col("values")
+    return as_text(rows.select(F.col("id").cast("int").alias("id"), v["datatype"].alias("datatype"), F.coalesce(v["dbl"], v["lng"].cast("array<double>")).alias("numbers")))
+
+
+@built("SELECT * FROM (VALUES (1, 2), (1, 4), (2, 2)) t(contact, bed)")
+def relate_many_to_many(spark, sf_dir):
+    store = sample.store(spark)
+    e = store.model.entity("Contact")
+    _, added = related(store.model, store.tables, e, "Beds", 2, [2], "INSERT")
+    _, rest = related(store.model, store.tables.with_tables({"contact_beds": added}), e, "Beds", 2, [4], "REMOVE")
+    return rest.select(F.col("contact").cast("int").alias("contact"), F.col("bed").cast("int").alias("bed"))
+
+
+@built("SELECT * FROM (VALUES (10), (11)) t(id)")
+def recursive_delete(spark, sf_dir):
+    store = sample.store(spark)
+    below = children(store.model, store.tables, store.model.entity("TestBed"), spark.createDataFrame([(2,)], "id long"))
+    return below["Step"].select(F.col("id").cast("int").alias("id"))
+
+
+@built("SELECT * FROM (VALUES (20, 1500.0::DOUBLE)) t(id, x)")
+def unit_of_operand(spark, sf_dir):
+    rows = sample.store(spark).query({"Run": {"scale": {"$gte": 1.5, "$unit": 2}}, "$attributes": {"id": 1, "scale": 1}})
+    return rows.select(F.col("id").cast("int").alias("id"), F.col("scale").alias("x"))
+
+
+@built("SELECT * FROM (VALUES (1, '1000000,2000000,3000000,4000000')) t(id, signal)")
+def complex_numbers_flat(spark, sf_dir):
+    rows = sample.store(spark).query({"Contact": 1, "$attributes": {"id": 1, "Signal": 1}})
+    return as_text(rows.select(F.col("id").cast("int").alias("id"), bulk.flattened(F.col("Signal"), ("r", "i")).alias("signal")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: asked(name) for name in ASKED} | {name: f for name, (f, _) in BUILT.items()}
 

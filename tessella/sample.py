@@ -1,15 +1,16 @@
-"""A small store of measurement data for tests: trees of tests, quantities, channels, parameters."""
+"""A small store of measurement data, for trying things out and for tests: trees of tests, quantities, channels, parameters."""
 
 from __future__ import annotations
 
 import datetime
 
-from tessella.model import Attribute, Entity, Model, Relation, Unit
-from tessella.sources.tables import Tables
-from tessella.store import Store
-from tessella.types import CODES, UNKNOWN
 from pyspark.sql import functions as F
 
+from .model import Attribute, Entity, Model, Relation, Unit
+from .sources.tables import Tables
+from .store import Store
+from .types import CODES, UNKNOWN
+
 DATATYPES = {name: number for number, name in enumerate(CODES)}
 SEQUENCES = {"explicit": 0, "implicit_constant": 1, "implicit_linear": 2, "implicit_saw": 3, "raw_linear": 4}
 

@@ -12,7 +12,7 @@ from tessella.operators.changes import Changes, Snapshots
 from tessella.operators.sessions import Connections, Context
 from tessella.sources.tables import Tables
 from tessella.store import Store
-from tests import measurements
+from tessella import sample as measurements
 
 
 @pytest.fixture(scope="module")

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from tessella import catalogue
 from tessella.errors import BadSyntax, BadValue, IncompatibleUnits, QueryError, UnknownAttribute, UnknownEntity, UnknownRelation
 from tessella.plans import nested
-from tests import measurements
+from tessella import sample as measurements
 
 
 @pytest.fixture(scope="module")

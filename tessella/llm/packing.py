@@ -68,56 +68,72 @@ class WordIds:
     The vocabulary's pre-tokeniser never joins a word with the one after a single
     space, so the ids of a text whose white space is single spaces or single line
     ends are those of its words, each with its leading space. Any other text, and any
-    that names a special token, is encoded as a whole.
+    that may name a special token, is encoded as a whole. Words of Latin letters that are not in
+    the table are encoded from the same vocabulary's file of ranks, if its path is given.
     """
 
-    def __init__(self, path: str, most_words: int = 400_000):
-        import re
+    def __init__(self, path: str, ranks_path: str | None = None, most_words: int = 400_000):
+        import struct
 
-        import numpy as np
         from tokenizers import Tokenizer
 
         tokens = Tokenizer.from_file(path)
-        # White space other than a single space or line end between two words.
-        self.odd = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]\Z|<\||\x00")
-        self.encode = lambda text: tokens.encode(text, add_special_tokens=False).ids
-        self.most_words = most_words
-        encode, most = self.encode, most_words
-        raw = self.raw = lambda text: np.array(encode(text), "<u4").tobytes()
+        packed = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
+        whole = self.whole = lambda text: packed(tokens.encode(text, add_special_tokens=False).ids)
+        by_rank = _rank_encoder(ranks_path) if ranks_path else None
 
         class Table(dict):
             def __missing__(self, word):
-                ids = raw(word)
-                if len(self) < most:
-                    self[word] = ids
+                ids = packed(by_rank(word)) if by_rank and max(word) < "\u0250" else whole(word)
+                if len(self) >= most_words:
+                    self.clear()  # the frequent words are soon back
+                self[word] = ids
                 return ids
 
         self.table = Table()
 
+    @staticmethod
+    def plain(text: str) -> bool:
+        """Whether all white space is single spaces and line ends between words, and nothing is special."""
+        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", "\n\n", " \n", "\n ", "<|")):
+            return False
+        return text.replace("\n", "").isprintable()
+
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if self.odd.search(text):
-            return self.raw(text)
+        if not self.plain(text):
+            return self.whole(text)
         # Each word keeps its leading space; a line end is a token of its own.
         words = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
         return b"".join(map(self.table.__getitem__, words))
 
 
+def _rank_encoder(path: str):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 _ENCODERS: dict[str, WordIds] = {}
 
 
-def encoder(path: str) -> WordIds:
+def encoder(path: str, ranks_path: str | None) -> WordIds:
     """One table of words per Python worker; it outlives the task."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordIds(path)
+        _ENCODERS[path] = WordIds(path, ranks_path)
     return _ENCODERS[path]
 
 
 class _Pack:
-    def __init__(self, path: str, size: int, end_id: int, most_open: int):
-        self.path, self.size, self.end_id, self.most_open = path, size, end_id, most_open
+    def __init__(self, path: str, ranks_path: str | None, size: int, end_id: int, most_open: int):
+        self.path, self.ranks_path, self.size, self.end_id, self.most_open = path, ranks_path, size, end_id, most_open
 
     def __call__(self, batches) -> Iterator:
         import zlib
@@ -125,7 +141,7 @@ class _Pack:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        ids_of, bins, task = encoder(self.path), Bins(self.size, self.most_open), TaskContext.get().partitionId()
+        ids_of, bins, task = encoder(self.path, self.ranks_path), Bins(self.size, self.most_open), TaskContext.get().partitionId()
         end = self.end_id.to_bytes(4, "little")
 
         def table(rows):
@@ -168,10 +184,11 @@ class _Refill:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(home, pa.int64()), pa.array([o for _, o in places], pa.int64())], ["t", "b", "home", "shift"])
 
 
-def pack(docs: DataFrame, *, tokenizer_path: str, id_col="doc_id", text_col="text", size=1024, end_id=2, most_open=4096, refill_rows=50_000) -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer_path: str, ranks_path: str | None = None, id_col="doc_id", text_col="text", size=1024, end_id=2, most_open=4096, refill_rows=50_000) -> DataFrame:
     """Packs all documents into sequences of at most size tokens.
 
-    A document's ids are those of the tokeniser file, then end_id. Only a document
+    A document's ids are those of the tokeniser file, then end_id; ranks_path is the same
+    vocabulary as ranks, which only makes it faster. Only a document
     longer than size is cut: its first piece takes the remainder, the others size.
     Returns one row per piece: doc_id, piece (from 0), start (the document's ids
     before it), length, ids_crc32 (of the little-endian unsigned 32-bit ids),
@@ -183,7 +200,7 @@ def pack(docs: DataFrame, *, tokenizer_path: str, id_col="doc_id", text_col="tex
     packs. Other columns are not looked at.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    placed = staged(rows.mapInArrow(_Pack(tokenizer_path, size, end_id, most_open), SCHEMA), "placed")
+    placed = staged(rows.mapInArrow(_Pack(tokenizer_path, ranks_path, size, end_id, most_open), SCHEMA), "placed")
     unfilled = placed.where("fill is not null").select("task", "bin", "fill")
     parts = max(1, -(-unfilled.count() // refill_rows))
     # Few rows in place of every text: the longest first, so that short ones fill the gaps.

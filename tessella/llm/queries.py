@@ -46,7 +46,7 @@ def tokenizer_path(name="byte_bpe_50k.json"):
 
 
 def op7_packing(spark, sf_dir):
-    return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path=tokenizer_path())
+    return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path=tokenizer_path(), ranks_path=tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
 def op1_html_extraction(spark, sf_dir):

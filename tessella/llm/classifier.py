@@ -224,12 +224,12 @@ class _Score:
 def score(docs: DataFrame, net: Network, *, text_col="text", keep=None) -> DataFrame:
     """docs' columns (or those in keep) and score: the probability of label 1 of each whole text.
 
-    A null text is scored as an empty one. Every row is scored on its own, so repeated
+    A column of docs called score or scored_text is left out. A null text is scored as an empty one. Every row is scored on its own, so repeated
     rows agree; an empty table gives an empty result.
     """
     from pyspark.sql import types as T
 
-    columns = list(docs.columns if keep is None else keep)
+    columns = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "scored_text")]
     rows = docs.select(*columns, F.col(text_col).cast("string").cast("binary").alias("scored_text"))
     schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(_Score(net), schema)

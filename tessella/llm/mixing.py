@@ -56,7 +56,7 @@ def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source
     """What the mix takes of each document.
 
     Returns id, size (words), source_size, target (the source's), taken (words the
-    mix takes, repeats counted), then the columns named in carry. The targets are
+    mix takes, repeats counted), then carried_<name> for the columns named in carry. The targets are
     those of targets(); each source's taken words add up to its target, rounded.
     Sizes are cut in the order of a hash of the id, so a rerun agrees.
 
@@ -92,7 +92,7 @@ def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source
     start = F.col("offset") + F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     last = F.least(F.greatest(F.col("rest") - start, F.lit(0)), F.col("size"))
     out = rows.withColumn("taken", (F.col("whole") * F.col("size") + last).cast("long"))
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", *[F.col(f"carried_{c}").alias(c if c != id_col else f"carried_{c}") for c in carry])
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", *[f"carried_{c}" for c in carry])
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -107,14 +107,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     plan = mix(docs, carry=rest, **options).where("taken > 0")
     wanted = F.when(F.col("taken") >= F.col("size"), F.when(F.col("taken") >= 2 * F.col("size"), F.array(F.col("size"), F.col("size"))).otherwise(F.array(F.col("size"), F.col("taken") - F.col("size")))).otherwise(F.array(F.col("taken")))
     rows = plan.withColumn("words", F.explode(F.filter(wanted, lambda x: x > 0)))
-    return rows.mapInArrow(_Cut([id_col, *rest], text_col), docs.select(id_col, *rest).schema).select(*docs.columns)
+    return rows.mapInArrow(_Cut(id_col, rest, text_col), docs.select(id_col, *rest).schema).select(*docs.columns)
 
 
 class _Cut:
     """Cuts each text after its wanted number of words."""
 
-    def __init__(self, columns, text_col):
-        self.columns, self.text_col = columns, text_col
+    def __init__(self, id_col: str, rest: list[str], text_col: str):
+        self.id_col, self.rest, self.text_col = id_col, rest, text_col
 
     def __call__(self, batches):
         import re
@@ -124,13 +124,14 @@ class _Cut:
 
         word = re.compile(r"[^\x20\x09-\x0D]+")
         for batch in batches:
-            texts, words, sizes = batch.column(self.text_col).to_pylist(), batch.column("words").to_pylist(), batch.column("size").to_pylist()
+            by_name = dict(zip(reversed(batch.schema.names), reversed(batch.columns)))
+            texts, words, sizes = (by_name[n].to_pylist() for n in (f"carried_{self.text_col}", "words", "size"))
             cut = [t if w >= s else t[: next(islice(word.finditer(t), w - 1, None)).end()] for t, w, s in zip(texts, words, sizes)]
-            columns = []
-            for name in self.columns:
-                old = batch.column(name)
+            columns = [batch.column(0)]  # the id
+            for name in self.rest:
+                old = by_name[f"carried_{name}"]
                 new = pa.array(cut, old.type) if name == self.text_col else old
                 if name == "n_chars":
                     new = pa.array([len(t) for t in cut]).cast(old.type)
                 columns.append(new)
-            yield pa.RecordBatch.from_arrays(columns, self.columns)
+            yield pa.RecordBatch.from_arrays(columns, [self.id_col, *self.rest])

@@ -190,7 +190,9 @@ def test_mix(spark, docs, bucket_rows):
     again = mixing.mix(docs.repartition(7), bucket_rows=bucket_rows).collect()
     assert sorted(map(str, again)) == sorted(map(str, found))
     assert mixing.mix(docs.limit(0)).count() == 0
-    out = mixing.mixed_documents(docs).collect()
+    clashing = docs.withColumn("size", docs["id"]).withColumn("taken", docs["n_chars"]).withColumn("words", docs["n_chars"])
+    assert mixing.mixed_documents(clashing).columns == clashing.columns
+    out = mixing.mixed_documents(clashing).collect()
     assert sum(count(r["text"]) for r in out) == sum(r["taken"] for r in found) and all(r["n_chars"] == len(r["text"]) for r in out)
 
 

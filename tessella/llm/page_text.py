@@ -32,7 +32,7 @@ ENDS_PARAGRAPH = frozenset(
 #: Elements that the next of their kind closes, and what stops the search for it.
 CLOSED_BY_NEXT = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 #: Ancestors that tell boilerplate, and ancestors that tell content, with their weights.
-BOILERPLATE_TAGS = {"nav": 9.0, "footer": 9.0, "header": 6.0, "aside": 9.0, "form": 9.0, "menu": 9.0, "dialog": 9.0}
+BOILERPLATE_TAGS = {"nav": 16.0, "footer": 16.0, "header": 6.0, "aside": 16.0, "form": 16.0, "menu": 16.0, "dialog": 16.0}
 CONTENT_TAGS = {"article": 5.0, "main": 3.0}
 #: Words in class, id or role that tell boilerplate, or content.
 BOILERPLATE_NAMES = re.compile(
@@ -54,10 +54,10 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|disp
 
 
 class Block:
-    __slots__ = ("path", "text", "tag", "link", "lean")
+    __slots__ = ("path", "text", "tag", "link", "lean", "inside")
 
-    def __init__(self, path: tuple, text: str, tag: str, link: int, lean: float):
-        self.path, self.text, self.tag, self.link, self.lean = path, text, tag, link, lean
+    def __init__(self, path: tuple, text: str, tag: str, link: int, lean: float, inside: str):
+        self.path, self.text, self.tag, self.link, self.lean, self.inside = path, text, tag, link, lean, inside
 
 
 class Element:
@@ -74,7 +74,7 @@ def lean_of(tag: str, attrs: str) -> float:
         for m in NAMED.finditer(attrs):
             value = m[2] or m[3] or m[4] or ""
             if BOILERPLATE_NAMES.search(value):
-                return lean - 9.0
+                return lean - 16.0
             if CONTENT_NAMES.search(value):
                 lean += 2.0
     return lean
@@ -104,7 +104,10 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join(unescape("".join(parts)).split())
             if text:
                 block = next((e for e in reversed(stack) if e.tag not in INLINE), None)
-                out.append(Block(tuple(e.serial for e in stack if e.tag not in INLINE), text, block.tag if block else "", min(link, len(text)), sum(e.lean for e in stack)))
+                tags = [e.tag for e in stack]
+                inside = "article" if "article" in tags else "main" if "main" in tags else ""
+                path = tuple(e.serial for e in stack if e.tag not in INLINE)
+                out.append(Block(path, text, block.tag if block else "", min(link, len(text)), sum(e.lean for e in stack), inside))
             parts.clear()
         link = 0
 
@@ -326,11 +329,12 @@ def main_text(page: str | None) -> str:
     blocks = blocks_of(page) if page else []
     if not blocks:
         return ""
-    if any(b.lean > 0 for b in blocks):
+    named = next((n for n in ("article", "main") if any(b.inside == n for b in blocks)), "")
+    if named or any(b.lean > 0 for b in blocks):
         # Where the page names its article, what lies outside is not it.
         for b in blocks:
-            if b.lean == 0:
-                b.lean = -6.0
+            if b.inside != named if named else b.lean == 0:
+                b.lean -= 8.0
     pairs = [costs(b) for b in blocks]
     keep = min_cut([a for a, _ in pairs], [b for _, b in pairs], smoothness(blocks))
     return "\n".join(b.text for b, k in zip(blocks, keep) if k)

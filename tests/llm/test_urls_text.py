@@ -32,6 +32,19 @@ def test_pages_without_an_article():
     assert page_text.main_text(page) == f"{prose.strip()}\n{prose.strip()}"
 
 
+LONG = "a great many plain words that say nothing of use to anyone who reads them here today " * 4
+
+
+@pytest.mark.parametrize("other", [
+    f'<aside><p>{LONG}</p></aside>', f'<div class="related-posts"><p>{LONG}</p></div>', f'<section id="reader_comments"><p>{LONG}</p><p>{LONG}</p></section>', f'<div role="navigation">{LONG}</div>',
+    f'<form><p>{LONG}</p><label>Name</label><input></form>', f'<div class="notice notice--info">{LONG}</div>', f"<div style='display: none'>{LONG}</div>", f'<nav>{LONG}</nav>', f"<style>{LONG}</style>",
+])
+def test_what_is_no_article(other):
+    inside = f'<body><div id="page"><article><h1>Title</h1><p>{LONG}</p>{other}<p>End.</p></article></div></body>'
+    outside = f'<body><div id="page">{other}<div>{LONG}</div><article><h1>Title</h1><p>{LONG}</p><p>End.</p></article>{other}<p>{LONG}</p></div></body>'
+    assert page_text.main_text(inside) == page_text.main_text(outside) == f"Title\n{LONG.strip()}\nEnd."
+
+
 def test_min_cut_is_minimal():
     import itertools
     import random

@@ -133,7 +133,7 @@ def _links_in(ids: np.ndarray, near) -> np.ndarray:
 
 def _search(threshold: float):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        cluster, i, j = key[0], key[1], key[2]
+        cluster, i, j = (int(k) for k in key[1:4])
         parts = [pdf[pdf["sub"] == s].sort_values("id") for s in ([i] if i == j else [i, j])]
         sets = []
         for p in parts:
@@ -174,18 +174,20 @@ def _search(threshold: float):
     return run
 
 
-def centres(reps: DataFrame, counts: dict[int, int], shard_rows: int, sample_rows: int) -> dict[int, np.ndarray]:
-    """Cluster centres for each label: far-apart vectors of a sample of at most sample_rows rows.
+def centres(reps: DataFrame, shard_rows: int, sample_rows: int) -> dict[int, np.ndarray]:
+    """Cluster centres for each label of a sample: far-apart vectors, as many as the label's rows need.
 
-    Far-apart centres keep a dense group in one cluster. The sample, which is all that
-    reaches the driver, is the first rows by a hash of their ids.
+    Far-apart centres keep a dense group in one cluster. The sample, the rows with the
+    smallest hashes of their ids, and the counts of its labels are all that reaches the driver.
     """
-    n = sum(counts.values())
-    share = min(1.0, sample_rows / max(n, 1))
-    hashed = F.pmod(F.xxhash64("id", F.lit("centre")), F.lit(1_000_000))
-    rows = reps.where(hashed < int(share * 1_000_000) + 1).select("label", "id", "v").limit(sample_rows).toPandas().sort_values("id")
+    sample = reps.orderBy(F.xxhash64("id", F.lit("centre"))).limit(sample_rows).select("label", "id", "v").toPandas().sort_values("id")
+    if not len(sample):
+        return {}
+    labels = reps.sparkSession.createDataFrame([(int(x),) for x in sample["label"].unique()], "l long")  # sample_rows at most
+    counted = reps.join(F.broadcast(labels), F.col("label") == F.col("l")).groupBy("label").agg(F.count("*").alias("n"))
+    counts = {r["label"]: r["n"] for r in counted.collect()}
     out = {}
-    for label, group in rows.groupby("label"):
+    for label, group in sample.groupby("label"):
         by_dim = {}
         for x in group["v"]:
             by_dim.setdefault(len(x), []).append(x)
@@ -195,15 +197,15 @@ def centres(reps: DataFrame, counts: dict[int, int], shard_rows: int, sample_row
         while len(chosen) < wanted:
             chosen.append(int(best.argmin()))
             best = np.maximum(best, v @ v[chosen[-1]])
-        out[label] = v[chosen]
+        out[int(label)] = v[chosen]
     return out
 
 
 class _Assign:
-    """The two nearest centres of each row's label, as cluster numbers (equal if there is one)."""
+    """The two nearest centres of each row's label, by their numbers in it (equal if there is one)."""
 
-    def __init__(self, at: dict[int, np.ndarray], first: dict[int, int]):
-        self.at, self.first = at, first
+    def __init__(self, at: dict[int, np.ndarray]):
+        self.at = at
 
     def __call__(self, batches):
         import pyarrow as pa
@@ -215,13 +217,11 @@ class _Assign:
                 rows = [k for k, x in enumerate(labels) if x == label]
                 known = self.at.get(label)
                 if known is None:
-                    # A label that the sample missed is one cluster of its own.
-                    c1[rows] = c2[rows] = -1 - (label & 0xFFFFFFFF)
-                    continue
+                    continue  # a label that the sample missed is one cluster
                 for k in rows:
                     v = np.asarray(vectors[k])
                     near = np.argsort(-(known @ v), kind="stable")[:2] if len(v) == known.shape[1] else np.zeros(1, int)
-                    c1[k], c2[k] = self.first[label] + near[0], self.first[label] + near[-1]
+                    c1[k], c2[k] = near[0], near[-1]
             names = [*batch.schema.names, "c1", "c2"]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(c1), pa.array(c2)], names)
 
@@ -248,22 +248,17 @@ def near_duplicates(vectors: DataFrame, *, id_col="vec_id", vector_col="embeddin
     unit = rows.where(fit).withColumn("s", scaled).withColumn("v", F.transform("s", lambda x: x / norm)).drop("s")
     unit = staged(unit, "units")
     reps = staged(unit.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.count_distinct("id").alias("ids")), "reps")
-    counts = {r["label"]: r["n"] for r in reps.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    at = centres(reps, counts, shard_rows, sample_rows)
-    first, total = {}, 0
-    for label in sorted(at):
-        first[label], total = total, total + len(at[label])
     member = reps.drop("ids").withColumn("dim", F.size("v"))
-    assigned = staged(member.mapInArrow(_Assign(at, first), "label long, v array<double>, id long, copies long, dim int, c1 long, c2 long"), "assigned")
+    assigned = staged(member.mapInArrow(_Assign(centres(reps, shard_rows, sample_rows)), "label long, v array<double>, id long, copies long, dim int, c1 long, c2 long"), "assigned")
     members = assigned.withColumn("cluster", F.explode(F.array_distinct(F.array("c1", "c2"))))
-    sizes = members.groupBy("cluster", "dim").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
-    members = members.join(sizes, ["cluster", "dim"]).withColumn("sub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    sizes = members.groupBy("label", "cluster", "dim").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
+    members = members.join(sizes, ["label", "cluster", "dim"]).withColumn("sub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     members = staged(members, "members")
-    graph = members.groupBy("cluster", "dim", "sub").applyInPandas(_build, "id long, near array<long>")
+    graph = members.groupBy("label", "cluster", "dim", "sub").applyInPandas(_build, "id long, near array<long>")
     graph = graph.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     linked = members.join(graph, "id").withColumn("t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tiles = linked.withColumn("i", F.least("sub", "t")).withColumn("j", F.greatest("sub", "t"))
-    searched = tiles.groupBy("cluster", "i", "j", "dim").applyInPandas(_search(threshold), "id long, links long, root long")
+    searched = tiles.groupBy("label", "cluster", "i", "j", "dim").applyInPandas(_search(threshold), "id long, links long, root long")
     searched = staged(searched, "links")
     links = searched.groupBy("id").agg(F.sum("links").alias("links"))
     found = components(searched.select(F.col("id").alias("a"), F.col("root").alias("b")))

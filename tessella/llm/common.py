@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from pathlib import Path
@@ -40,8 +42,27 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH")) if x)
 
 
+#: Folders written by this process, with the session's JVM.
+_WRITTEN: list[tuple] = []
+
+
+@atexit.register
+def _remove_written() -> None:
+    """Results are lazy and may read a staged table at any time; when the driver's process ends nothing does."""
+    for jvm, conf, folder in _WRITTEN:
+        with contextlib.suppress(Exception):  # the JVM may be gone; the folder is scratch space
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def scratch(spark: SparkSession, folder: str) -> str:
+    """folder, to be removed when the driver's process ends."""
+    _WRITTEN.append((spark._jvm, spark._jsc.hadoopConfiguration(), folder))
+    return folder
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessella/{uuid.uuid4().hex}-{name}"
+    return scratch(spark, f"{shared_dir(spark)}/tessella/{uuid.uuid4().hex}-{name}")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

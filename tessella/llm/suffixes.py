@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, staged
+from .common import scratch, shared_dir, staged
 
 LOW = np.uint64((1 << 24) - 1)
 BLOCK = 1 << 18
@@ -294,6 +294,7 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", window=
     rows = rows.withColumn("id", F.coalesce("own_id", F.lit(2**63 - 1))).withColumn("mark", F.xxhash64("data"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "mark"), F.lit(chunks)))
     name = f"tessella_{uuid.uuid4().hex}"
+    scratch(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/{name}")
     rows.repartition(chunks, "chunk").write.bucketBy(chunks, "chunk").format("parquet").saveAsTable(name)
     _release(spark)
     base, work = spark.table(name), _Pass(window, gram, chunks)

@@ -90,10 +90,11 @@ def search(v: np.ndarray, links: np.ndarray, queries: np.ndarray, own: np.ndarra
         reach(me[start >= 0], start[start >= 0])
         # Greedy: each round expands the best node of every query that is not expanded yet.
         beam = min(BEAM, n)
-        for _ in range(BEAM):
+        for turn in range(BEAM):
             open_sims = np.where(expanded, -3.0, sims)
             best = open_sims.argmax(1)
-            floor = np.partition(sims, n - beam, axis=1)[:, n - beam]
+            if turn % 8 == 0:  # what the beam holds at least; it only rises
+                floor = np.partition(sims, n - beam, axis=1)[:, n - beam]
             active = (open_sims[me, best] > -2) & (open_sims[me, best] >= floor)
             if not active.any():
                 break
@@ -243,9 +244,9 @@ def near_duplicates(vectors: DataFrame, *, id_col="vec_id", vector_col="embeddin
     largest = F.array_max(F.transform("v", F.abs))
     fit = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(odd, F.lit(True)) & (F.coalesce(largest, F.lit(0.0)) > 0)
     # Scaled by the largest component first, so that no square over- or underflows.
-    scaled = F.transform("v", lambda x: x / F.array_max(F.transform("v", F.abs)))
+    divided = lambda x, by: F.zip_with(x, F.array_repeat(by, F.size(x)), lambda a, b: a / b)
     norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x))
-    unit = rows.where(fit).withColumn("s", scaled).withColumn("v", F.transform("s", lambda x: x / norm)).drop("s")
+    unit = rows.where(fit).withColumn("s", divided(F.col("v"), largest)).withColumn("v", divided(F.col("s"), norm)).drop("s")
     unit = staged(unit, "units")
     reps = staged(unit.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.count_distinct("id").alias("ids")), "reps")
     member = reps.drop("ids").withColumn("dim", F.size("v"))

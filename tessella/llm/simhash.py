@@ -138,8 +138,11 @@ def allocate(cost: np.ndarray, distance: int) -> list[int]:
     return out[::-1]
 
 
-def plan(fps: DataFrame, n: int, distance: int, parts_from=(3, 4, 5)) -> list[tuple[list[int], int]]:
-    """(bits of the part, threshold) of the parts to probe, at the fewest estimated candidates."""
+def plan(fps: DataFrame, n: int, distance: int, parts_from=(2, 3, 4, 5)) -> list[tuple[list[int], int]]:
+    """(bits of the part, threshold) of the parts to probe, at the fewest estimated candidates.
+
+    Few parts make long keys with more probes: the more fingerprints there are, the fewer parts pay.
+    """
     both = together(fps)
     p = np.diag(both) / max(n, 1)
     differ, pairs = 2 * p * (1 - p), n * (n - 1) / 2

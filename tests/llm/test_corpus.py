@@ -74,9 +74,11 @@ def test_near_duplicates(spark, docs):
     assert kept == [1, 3, 7, 8, 9, None] and simhash.kept_documents(docs).columns == docs.columns
 
 
-@pytest.mark.parametrize("paired", [64, 2])
-def test_links_of_fingerprints(spark, paired, monkeypatch):
+@pytest.mark.parametrize("paired, parts_from", [(64, (2, 3, 4, 5)), (2, (2, 3, 4, 5)), (64, (2,)), (2, (2,)), (1, (5,))])
+def test_links_of_fingerprints(spark, paired, parts_from, monkeypatch):
     monkeypatch.setattr(simhash, "PAIRED", paired)
+    plan = simhash.plan
+    monkeypatch.setattr(simhash, "plan", lambda fps, n, distance: plan(fps, n, distance, parts_from))
     rng = np.random.default_rng(11)
     values = list(rng.integers(0, 2**63, 150, dtype=np.uint64))
     for k in range(250):
@@ -100,15 +102,25 @@ def _groups(component):
     return out.values()
 
 
-def test_thresholds():
+def test_thresholds(monkeypatch):
     import itertools
 
     rng = np.random.default_rng(2)
-    for m in (3, 4, 5):
+    for m in (2, 3, 4, 5):
         cost = np.concatenate([np.zeros((m, 1)), np.cumsum(rng.random((m, 3)), 1)], 1)
         chosen = simhash.allocate(cost, 2)
         best = min(sum(c[t + 1] for c, t in zip(cost, ts)) for ts in itertools.product((-1, 0, 1, 2), repeat=m) if sum(ts) == 2 - m + 1)
         assert sum(chosen) == 2 - m + 1 and abs(sum(c[t + 1] for c, t in zip(cost, chosen)) - best) < 1e-12
+    # The more fingerprints, the longer the keys that are worth their probes.
+    even = np.full((64, 64), 0.25) + np.eye(64) * 0.25
+    sizes = {}
+    for n in (10**5, 10**11):
+        with_n = lambda fps, n=n: even * n
+        monkeypatch.setattr(simhash, "together", with_n)
+        chosen = simhash.plan(None, n, 2)
+        sizes[n] = min(len(bits) for bits, _ in chosen)
+        assert sum(t + 1 for _, t in chosen) == 3
+    assert sizes[10**11] > sizes[10**5]
     both = np.full((64, 64), 25.0) + np.eye(64) * 25
     both[3, 40] = both[40, 3] = 50
     parts = simhash.correlated_parts(both, 100, 3)

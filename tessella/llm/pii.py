@@ -13,11 +13,14 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROUNDS = 8
+#: Values of formats with at least so many members are permuted symbol by symbol: as numbers they outgrow the digest.
+WIDE = 1 << 256
 
 
 class Permutation:
@@ -64,6 +67,44 @@ class Permutation:
         return self._back((self._there(x) - 1) % self.n)
 
 
+class WidePermutation:
+    """A keyed permutation without fixed points of lists of symbols, position k out of range(sizes[k]).
+
+    The same Feistel rounds and the same step by one in between, but on the lists' halves: each
+    half is moved, position by position, by a digest of the other as long as it needs.
+    """
+
+    def __init__(self, key: bytes, sizes: np.ndarray):
+        self.key, self.sizes, self.half = key, sizes, len(sizes) // 2
+
+    def _round(self, k: int, other: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        data = self.key + k.to_bytes(1, "big") + other.astype(np.uint8).tobytes()
+        return (np.frombuffer(hashlib.shake_256(data).digest(8 * len(sizes)), "<u8") % sizes.astype(np.uint64)).astype(np.int64)
+
+    def _rounds(self, x: np.ndarray, order: Iterator[int], sign: int) -> np.ndarray:
+        a, b, m, n = x[: self.half], x[self.half :], self.sizes[: self.half], self.sizes[self.half :]
+        for k in order:
+            if k % 2:
+                b = (b + sign * self._round(k, a, n)) % n
+            else:
+                a = (a + sign * self._round(k, b, m)) % m
+        return np.concatenate([a, b])
+
+    def _moved(self, x: np.ndarray, step: int) -> np.ndarray:
+        x = self._rounds(x, iter(range(ROUNDS)), 1)
+        for k in reversed(range(len(x))):
+            carry, x[k] = divmod(int(x[k]) + step, int(self.sizes[k]))
+            if not carry:
+                break
+        return self._rounds(x, reversed(range(ROUNDS)), -1)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return self._moved(x, 1)
+
+    def inverse(self, x: np.ndarray) -> np.ndarray:
+        return self._moved(x, -1)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, d in enumerate(reversed(digits)):
@@ -108,11 +149,14 @@ class Pseudonyms:
         self.key = hashlib.blake2b(key, digest_size=32).digest()
         self.permutations: dict[tuple[str, int], Permutation] = {}
 
+    def key_of(self, kind: str) -> bytes:
+        return hashlib.blake2b(kind.encode(), key=self.key, digest_size=32).digest()
+
     def permuted(self, kind: str, n: int, x: int) -> int:
         if (kind, n) not in self.permutations:
             if len(self.permutations) > 10_000:
                 self.permutations.clear()
-            self.permutations[kind, n] = Permutation(hashlib.blake2b(kind.encode(), key=self.key, digest_size=32).digest(), n)
+            self.permutations[kind, n] = Permutation(self.key_of(kind), n)
         return self.permutations[kind, n](x)
 
     def digits(self, kind: str, text: str, skip: int = 0) -> str:
@@ -131,10 +175,17 @@ class Pseudonyms:
         for c, s in zip(text, sets):
             if s:
                 n, x = n * len(s), x * len(s) + s.index(c)
+                if n >= WIDE:
+                    break
         if n == 1:
             return text
         # Lengths and places of classes are part of the format.
         shape = "".join(str(len(s)) + "," for s in sets)
+        if n >= WIDE:
+            own = [(s, s.index(c)) for c, s in zip(text, sets) if s]
+            wide = WidePermutation(self.key_of(f"{kind}:{shape}"), np.array([len(s) for s, _ in own]))
+            new = iter([s[k] for (s, _), k in zip(own, wide(np.array([k for _, k in own])).tolist())])
+            return "".join(next(new) if s else c for c, s in zip(text, sets))
         x, out = self.permuted(f"{kind}:{shape}", n, x), []
         for c, s in zip(reversed(text), reversed(sets)):
             if s:

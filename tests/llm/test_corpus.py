@@ -288,6 +288,26 @@ def test_pseudonyms(text, kind):
     assert pii.Pseudonyms(b"other")(f"so {text}, he said")[0] != new
 
 
+def test_wide_permutation():
+    sizes = np.array([2, 3, 5, 4])
+    p, every = pii.WidePermutation(b"key", sizes), [np.array(x) for x in np.ndindex(*sizes)]
+    assert sorted(tuple(p(x)) for x in every) == sorted(map(tuple, every))
+    assert all((p(x) != x).any() and (p.inverse(p(x)) == x).all() for x in every)
+
+
+@pytest.mark.parametrize("size", [55, 64, 200, 100_000])
+def test_long_pseudonyms(size):
+    names = pii.Pseudonyms(b"key")
+    values = ("0123456789abcdef" * size)[:size], ("Ab1_" * size)[:size], ("mailname" * size)[:size]
+    for value, before, after, kind in [(values[0], "api_key=", "", "secret"), (values[1], "token=", "", "secret"), (values[2], "", "@example.org", "email")]:
+        new, counts = names(f"so {before}{value}{after} ends")
+        new = new[3 + len(before) : len(new) - 5 - len(after)]
+        assert counts == {kind: 1} and len(new) == size and new != value and names(f"so {before}{value}{after} ends")[0][3 + len(before) :].startswith(new)
+        other = names(f"so {before}{value[:-1]}{'2' if value[-1].isdigit() and value[-1] != '2' else 'e' if value[-1].islower() and value[-1] != 'e' else 'Q'}{after} ends")[0]
+        assert new not in other
+        assert names(f"so {before}{new}{after} ends")[1] == {kind: 1}
+
+
 def test_what_stays():
     names = pii.Pseudonyms(b"key")
     for text in ("Version 2.0. and CC BY-NC 4.0", "1984-02-30", "4111 1111 1111 1112", "300.1.1.1", "000-12-3456", "GB82 WEST 1234 5698 7654 33", "1.2.3", "12 monkeys", "secret: nothingtosee", "3.14159", ""):

@@ -118,6 +118,11 @@ def iban_valid(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def in_hex(text: str) -> bool:
+    """Whether a secret is hex: digits alone, or letters alone, are not."""
+    return len(text) >= 8 and not set(text) - set(HEX) and any(c.isdigit() for c in text) and any(c.isalpha() for c in text)
+
+
 #: Symbols of which a character in a string without checks stays a member.
 CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 HEX = "0123456789abcdef"
@@ -166,11 +171,18 @@ class Pseudonyms:
         return text[:skip] + "".join(next(new) if c.isdigit() else c for c in text[skip:])
 
     def symbols(self, kind: str, text: str) -> str:
-        """text with every letter and digit permuted within its class (hex strings: all of hex)."""
-        if len(text) >= 8 and not set(text) - set(HEX):
-            sets = [HEX] * len(text)
-        else:
-            sets = [next((s for s in CLASSES if c in s), "") for c in text]
+        """text with every letter and digit permuted within its class (secrets in hex: all of hex)."""
+        if kind != "secret":
+            return self.in_classes(kind, text)
+        # Both formats are walked on until the result is in the same one: no two secrets get the same pseudonym.
+        new, own = text, in_hex(text)
+        while True:
+            new = self.in_classes(kind, new, own)
+            if in_hex(new) == own:
+                return new
+
+    def in_classes(self, kind: str, text: str, as_hex: bool = False) -> str:
+        sets = [HEX] * len(text) if as_hex else [next((s for s in CLASSES if c in s), "") for c in text]
         n, x = 1, 0
         for c, s in zip(text, sets):
             if s:

@@ -152,18 +152,19 @@ ask("seqskip_past_end", {"Vector": {"id": {"$lt": 20}}, "$attributes": {"id": 1,
 ask("point_indices", {"Vector": {"values": {"$gt": 0.25}}, "$attributes": {"id": 1, "values": {"$point": 1}}}, "id at", f"SELECT vec_id AS id, {sql_text('list_filter(list_transform(embedding, lambda x, i: CASE WHEN x > 0.25::FLOAT THEN CAST(i - 1 AS INTEGER) END), lambda k: k IS NOT NULL)')} AS at FROM embeddings WHERE len(list_filter(embedding, lambda x: x > 0.25::FLOAT)) > 0")
 ask("point_between", {"Vector": {"values": {"$gte": 0.1, "$lt": 0.2}, "label": 1}, "$attributes": {"id": 1, "values": {"$point": 1}}}, "id at", f"SELECT vec_id AS id, {sql_text('list_filter(list_transform(embedding, lambda x, i: CASE WHEN x >= 0.1::FLOAT AND x < 0.2::FLOAT THEN CAST(i - 1 AS INTEGER) END), lambda k: k IS NOT NULL)')} AS at FROM embeddings WHERE label = 1 AND len(list_filter(embedding, lambda x: x >= 0.1::FLOAT)) > 0 AND len(list_filter(embedding, lambda x: x < 0.2::FLOAT)) > 0")
 
-# Listed queries
-ask("text_scan", {"entity": "Nation"}, "id name region", NATION)
-ask("text_like", {"entity": "Part", "conditions": ["brand = Brand#1*"], "attributes": ["id"]}, "id", PART + "p_brand LIKE 'Brand#1%'")
-ask("text_notlike", {"entity": "Part", "conditions": ["brand <> Brand#1*"], "attributes": ["id"]}, "id", PART + "p_brand NOT LIKE 'Brand#1%'")
-ask("text_ops", {"entity": "Part", "conditions": ["size >= 10", "$and", "size < 30", "$and", "brand != Brand#11", "$and", "retailprice <= 960", "$and", "size <> 12"], "attributes": ["id", "size"]}, "id size", "SELECT p_partkey AS id, p_size AS size FROM part WHERE p_size >= 10 AND p_size < 30 AND p_brand <> 'Brand#11' AND p_retailprice <= 960 AND p_size <> 12")
-ask("text_parens", {"entity": "Part", "conditions": ["$open", "size = 1", "$or", "size = 2", "$close", "$and", "$not", "brand == Brand#11"], "attributes": ["id"]}, "id", PART + "(p_size = 1 OR p_size = 2) AND NOT p_brand = 'Brand#11'")
-ask("text_precedence", {"entity": "Part", "conditions": ["size = 1", "$or", "size = 2", "$and", "$not", "brand == Brand#11"], "attributes": ["id"]}, "id", PART + "p_size = 1 OR (p_size = 2 AND NOT p_brand = 'Brand#11')")
-ask("text_ci", {"entity": "Customer", "conditions": ["$ci", "mktsegment = build*", "$or", "mktsegment == machinery", "$cs", "$or", "mktsegment == machinery"], "attributes": ["id"]}, "id", "SELECT c_custkey AS id FROM customer WHERE lower(c_mktsegment) LIKE 'build%' OR lower(c_mktsegment) = 'machinery'")
-ask("text_outer", {"entity": "Document", "attributes": ["id", "OUTER(label).quality"], "rowMaxCount": 100000}, "id quality", "SELECT d.doc_id AS id, quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+# Listed queries: without a rowMaxCount they end at the reference's default, which text_row_default alone is to show
+ask("text_scan", {"entity": "Nation", "rowMaxCount": None}, "id name region", NATION)
+ask("text_like", {"entity": "Part", "conditions": ["brand = Brand#1*"], "attributes": ["id"], "rowMaxCount": None}, "id", PART + "p_brand LIKE 'Brand#1%'")
+ask("text_notlike", {"entity": "Part", "conditions": ["brand <> Brand#1*"], "attributes": ["id"], "rowMaxCount": None}, "id", PART + "p_brand NOT LIKE 'Brand#1%'")
+ask("text_ops", {"entity": "Part", "conditions": ["size >= 10", "$and", "size < 30", "$and", "brand != Brand#11", "$and", "retailprice <= 960", "$and", "size <> 12"], "attributes": ["id", "size"], "rowMaxCount": None}, "id size", "SELECT p_partkey AS id, p_size AS size FROM part WHERE p_size >= 10 AND p_size < 30 AND p_brand <> 'Brand#11' AND p_retailprice <= 960 AND p_size <> 12")
+ask("text_parens", {"entity": "Part", "conditions": ["$open", "size = 1", "$or", "size = 2", "$close", "$and", "$not", "brand == Brand#11"], "attributes": ["id"], "rowMaxCount": None}, "id", PART + "(p_size = 1 OR p_size = 2) AND NOT p_brand = 'Brand#11'")
+ask("text_precedence", {"entity": "Part", "conditions": ["size = 1", "$or", "size = 2", "$and", "$not", "brand == Brand#11"], "attributes": ["id"], "rowMaxCount": None}, "id", PART + "p_size = 1 OR (p_size = 2 AND NOT p_brand = 'Brand#11')")
+ask("text_ci", {"entity": "Customer", "conditions": ["$ci", "mktsegment = build*", "$or", "mktsegment == machinery", "$cs", "$or", "mktsegment == machinery"], "attributes": ["id"], "rowMaxCount": None}, "id", "SELECT c_custkey AS id FROM customer WHERE lower(c_mktsegment) LIKE 'build%' OR lower(c_mktsegment) = 'machinery'")
+ask("text_outer", {"entity": "Document", "attributes": ["id", "OUTER(label).quality"], "rowMaxCount": None}, "id quality", "SELECT d.doc_id AS id, quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 ask("text_order", {"entity": "Order", "attributes": ["id", "customer.name"], "orderBy": ["DESCENDING(totalprice)", "ASCENDING(id)"], "rowMaxCount": 12, "rowSkipCount": 3}, "id customer", "SELECT o_orderkey AS id, c_name AS customer FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 12 OFFSET 3")
-ask("text_agg", {"entity": "Order", "attributes": ["customer.mktsegment", "COUNT(id)", "MAX(totalprice)", "DCOUNT(customer)"], "groupBy": ["customer.mktsegment"], "orderBy": ["customer.mktsegment"]}, "segment n high customers", "SELECT c_mktsegment AS segment, count(*) AS n, max(o_totalprice) AS high, count(DISTINCT o_custkey) AS customers FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
-ask("text_seq_default", {"entity": "Vector", "attributes": ["id", "values"], "seqSkipCount": 2}, "id values", f"SELECT vec_id AS id, {sql_text('embedding[3:52]')} AS values FROM embeddings")
+ask("text_row_default", {"entity": "LineItem", "attributes": ["order", "linenumber"], "orderBy": ["order", "linenumber"]}, "o n", "SELECT l_orderkey AS o, l_linenumber AS n FROM lineitem ORDER BY 1, 2 LIMIT 10000")
+ask("text_agg", {"entity": "Order", "attributes": ["customer.mktsegment", "COUNT(id)", "MAX(totalprice)", "DCOUNT(customer)"], "groupBy": ["customer.mktsegment"], "orderBy": ["customer.mktsegment"], "rowMaxCount": None}, "segment n high customers", "SELECT c_mktsegment AS segment, count(*) AS n, max(o_totalprice) AS high, count(DISTINCT o_custkey) AS customers FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+ask("text_seq_default", {"entity": "Vector", "attributes": ["id", "values"], "seqSkipCount": 2, "rowMaxCount": None}, "id values", f"SELECT vec_id AS id, {sql_text('embedding[3:52]')} AS values FROM embeddings")
 
 
 def asked(name: str):
@@ -191,7 +192,7 @@ for name, query, columns, sql in (
     ("stddev", {"LineItem": {}, "$attributes": {"returnflag": 1, "quantity": {"$stddev": 1}}, "$groupby": {"returnflag": 1}}, "flag s", "SELECT l_returnflag AS flag, round(stddev_samp(l_quantity), 4) AS s FROM lineitem GROUP BY 1"),
     ("global_aggregate", {"LineItem": {}, "$attributes": {"quantity": {"$min": 1, "$max": 1, "$avg": 1, "$count": 1}}}, "a b c n", "SELECT min(l_quantity) AS a, max(l_quantity) AS b, round(avg(l_quantity), 4) AS c, count(*) AS n FROM lineitem"),
     ("flagship", {"LineItem": {"order.customer.mktsegment": "MACHINERY", "shipdate": {"$gte": "1996-01-01T00:00:00.000Z"}}, "$attributes": {"returnflag": 1, "quantity": {"$sum": 1}}, "$groupby": {"returnflag": 1}}, "flag q", "SELECT l_returnflag AS flag, round(sum(l_quantity), 4) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'MACHINERY' AND l_shipdate >= TIMESTAMP '1996-01-01' GROUP BY 1"),
-    ("text_stddev", {"entity": "LineItem", "attributes": ["linestatus", "STDDEV(quantity)", "SUM(tax)"], "groupBy": ["linestatus"]}, "status s t", "SELECT l_linestatus AS status, round(stddev_samp(l_quantity), 4) AS s, round(sum(l_tax), 4) AS t FROM lineitem GROUP BY 1"),
+    ("text_stddev", {"entity": "LineItem", "attributes": ["linestatus", "STDDEV(quantity)", "SUM(tax)"], "groupBy": ["linestatus"], "rowMaxCount": None}, "status s t", "SELECT l_linestatus AS status, round(stddev_samp(l_quantity), 4) AS s, round(sum(l_tax), 4) AS t FROM lineitem GROUP BY 1"),
 ):
     BUILT[name] = (rounded(query, columns), sql)
 BUILT["chain_4hop"] = (rounded(ASKED["chain_4hop"][0], "q n nation"), ASKED.pop("chain_4hop")[2])

@@ -126,10 +126,12 @@ ask("inner_join", {"Document": {}, "$attributes": {"id": 1, "label.quality": 1}}
 ask("outer_join", {"Document": {}, "$attributes": {"id": 1, "label:OUTER.quality": 1}}, "id quality", "SELECT d.doc_id AS id, quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 ask("inverse_join", {"Nation": {}, "$attributes": {"name": 1, "customers.name": 1, "customers.id": 1}}, "nation customer id", "SELECT n_name AS nation, c_name AS customer, c_custkey AS id FROM nation JOIN customer ON c_nationkey = n_nationkey")
 ask("inverse_outer", {"Customer": {"id": {"$lt": 200}}, "$attributes": {"id": 1, "events:OUTER.id": 1}}, "id event", "SELECT c_custkey AS id, event_id AS event FROM customer LEFT JOIN events ON user_id = c_custkey WHERE c_custkey < 200")
+ask("inverse_outer_all", {"Customer": {}, "$attributes": {"id": 1, "events:OUTER.id": 1}}, "id event", "SELECT c_custkey AS id, event_id AS event FROM customer LEFT JOIN events ON user_id = c_custkey")
 ask("chain_4hop", {"LineItem": {"order.customer.nation.region.name": "ASIA"}, "$attributes": {"quantity": {"$sum": 1, "$count": 1}, "order.customer.nation.name": 1}, "$groupby": {"order.customer.nation.name": 1}}, "q n nation", "SELECT round(sum(l_quantity), 4) AS q, count(*) AS n, n_name AS nation FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' GROUP BY n_name")
 ask("prefix_joined_once", {"Order": {"customer.mktsegment": "BUILDING"}, "$attributes": {"id": 1, "customer.name": 1, "customer.nation.name": 1}, "$orderby": {"customer.name": 1, "id": 1}}, "id customer nation", "SELECT o_orderkey AS id, c_name AS customer, n_name AS nation FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING'")
 ask("two_ways_to_one_entity", {"LineItem": {"quantity": {"$gte": 49}}, "$attributes": {"order": 1, "supplier.nation.name": 1, "order.customer.nation.name": 1}}, "o supplier customer", "SELECT l_orderkey AS o, a.n_name AS supplier, b.n_name AS customer FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON s_nationkey = a.n_nationkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation b ON c_nationkey = b.n_nationkey WHERE l_quantity >= 49")
 ask("many_to_many", {"Supplier": {"id": {"$lte": 3}}, "$attributes": {"id": 1, "parts.brand": {"$dcount": 1}}, "$groupby": {"id": 1}}, "id brands", "SELECT s_suppkey AS id, count(DISTINCT p_brand) AS brands FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE s_suppkey <= 3 GROUP BY 1")
+ask("many_to_many_all", {"Supplier": {}, "$attributes": {"id": 1, "parts.brand": {"$dcount": 1}}, "$groupby": {"id": 1}}, "id brands", "SELECT s_suppkey AS id, count(DISTINCT p_brand) AS brands FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY 1")
 
 # Aggregates, groups, order, limits
 ask("count", {"LineItem": {"returnflag": "R"}, "$attributes": {"quantity": {"$count": 1}}}, "n", "SELECT count(*) AS n FROM lineitem WHERE l_returnflag = 'R'")
@@ -149,6 +151,7 @@ ask("rowskip", {"Part": {}, "$attributes": {"id": 1, "name": 1}, "$orderby": {"i
 ask("seqlimit", {"Vector": {}, "$attributes": {"id": 1, "values": 1}, "$options": {"$seqlimit": 3}}, "id values", f"SELECT vec_id AS id, {sql_text('embedding[1:3]')} AS values FROM embeddings")
 ask("seqskip", {"Vector": {}, "$attributes": {"id": 1, "values": 1}, "$options": {"$seqlimit": 4, "$seqskip": 60}}, "id values", f"SELECT vec_id AS id, {sql_text('embedding[61:64]')} AS values FROM embeddings")
 ask("seqskip_past_end", {"Vector": {"id": {"$lt": 20}}, "$attributes": {"id": 1, "values": 1}, "$options": {"$seqskip": 1000}}, "id values", f"SELECT vec_id AS id, {sql_text('embedding[1001:2000]')} AS values FROM embeddings WHERE vec_id < 20")
+ask("seqskip_past_end_all", {"Vector": {}, "$attributes": {"id": 1, "values": 1}, "$options": {"$seqskip": 1000}}, "id values", f"SELECT vec_id AS id, {sql_text('embedding[1001:2000]')} AS values FROM embeddings")
 ask("point_indices", {"Vector": {"values": {"$gt": 0.25}}, "$attributes": {"id": 1, "values": {"$point": 1}}}, "id at", f"SELECT vec_id AS id, {sql_text('list_filter(list_transform(embedding, lambda x, i: CASE WHEN x > 0.25::FLOAT THEN CAST(i - 1 AS INTEGER) END), lambda k: k IS NOT NULL)')} AS at FROM embeddings WHERE len(list_filter(embedding, lambda x: x > 0.25::FLOAT)) > 0")
 ask("point_between", {"Vector": {"values": {"$gte": 0.1, "$lt": 0.2}, "label": 1}, "$attributes": {"id": 1, "values": {"$point": 1}}}, "id at", f"SELECT vec_id AS id, {sql_text('list_filter(list_transform(embedding, lambda x, i: CASE WHEN x >= 0.1::FLOAT AND x < 0.2::FLOAT THEN CAST(i - 1 AS INTEGER) END), lambda k: k IS NOT NULL)')} AS at FROM embeddings WHERE label = 1 AND len(list_filter(embedding, lambda x: x >= 0.1::FLOAT)) > 0 AND len(list_filter(embedding, lambda x: x < 0.2::FLOAT)) > 0")
 
@@ -286,6 +289,13 @@ def binary_chunk(spark, sf_dir):
     return found.withColumn("data", F.hex("data"))
 
 
+@built("SELECT item_id AS id, CAST(octet_length(encode(text)) AS INTEGER) AS length, substr(hex(encode(text)), 21, 40) AS data FROM benchmark")
+def binary_chunk_all(spark, sf_dir):
+    """Chunks of every text: bytes are cut, whatever characters they belong to."""
+    store = catalogue.store(spark, sf_dir)
+    return contents.chunk(store.model, store.tables, "BenchmarkItem", "text", 10, 20).withColumn("data", F.hex("data"))
+
+
 @built("SELECT c_custkey AS id, '/[Region]' || r_name || '/[Nation]' || n_name || '/[Customer]' || c_name AS path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def instance_path_create(spark, sf_dir):
     store = catalogue.store(spark, sf_dir)

@@ -142,37 +142,67 @@ def _values_of(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-#: Rows to a bucket: the entries' keys, and their documents as runs of (id, count).
-TO_BUCKET = "bucket long, chunk long, major binary, minor binary, ids binary, counts binary"
-#: Rows back to a chunk: for each entry, in the order it was sent in, two bits.
+#: Rows to a bucket: a chunk's distinct keys, the smallest id of each as runs of (id, count), and where the largest is another, its place and the id.
+TO_BUCKET = "bucket long, chunk long, major binary, minor binary, ids binary, counts binary, places binary, highs binary"
+#: Rows back to a chunk: for each key, in the order it was sent in, two bits.
 TO_CHUNK = "chunk long, bucket long, later binary, shared binary"
 WIDTHS = {1: (6, 5), 2: (8, 3)}
 
 
-def _dealt(major: np.ndarray, bits: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of entries by bucket, the leading bits of the key scaled to it, and where each bucket ends."""
-    top = (major >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)
-    order = np.argsort(top.astype(np.uint16 if buckets <= 65_536 else np.uint32), kind="stable")
-    return order, np.searchsorted(top[order], np.arange(buckets + 1, dtype=np.uint64))
+class _Keys:
+    """The distinct keys of a chunk's entries, with their smallest and largest ids, dealt to buckets.
 
+    A key is sent once however many entries of the chunk have it: buckets see a key once for each chunk.
+    """
 
-def _sent(chunk: int, major, minor, ids, bits: int, widths, buckets: int) -> pa.Table:
-    order, ends = _dealt(major, bits, buckets)
-    rows = []
-    for b in range(buckets):
-        own = order[ends[b] : ends[b + 1]]
-        if len(own):
-            of = ids[own]
-            first = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1])
-            counts = np.diff(np.concatenate([first, [len(of)]])).astype("<u4")
-            rows.append((b, chunk, _bytes_of(major[own], widths[0]), _bytes_of(minor[own], widths[1]), of[first].astype("<i8").tobytes(), counts.tobytes()))
-    names = ["bucket", "chunk", "major", "minor", "ids", "counts"]
-    types = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
-    return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(names, types))})
+    def __init__(self, major: np.ndarray, minor: np.ndarray, ids: np.ndarray, bits: int, buckets: int):
+        order = np.lexsort((minor, major))
+        a, b = major[order], minor[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        first, self.ids = np.flatnonzero(new), ids
+        low, high = (f.reduceat(ids[order], first) if len(first) else ids for f in (np.minimum, np.maximum))
+        # By bucket (the leading bits of the major key scaled to it), then by id, so that ids come in runs.
+        top = (a[first] >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)
+        dealt = np.lexsort((low, top))
+        self.major, self.minor, self.low, self.high = a[first][dealt], b[first][dealt], low[dealt], high[dealt]
+        self.ends = np.searchsorted(top[dealt], np.arange(buckets + 1, dtype=np.uint64))
+        place = np.empty(len(first), np.int64)
+        place[dealt] = np.arange(len(first))
+        #: The key of each entry.
+        self.of = np.empty(len(order), np.int64)
+        self.of[order] = place[np.cumsum(new) - 1]
+
+    def sent(self, chunk: int, widths) -> pa.Table:
+        rows = []
+        for b in range(len(self.ends) - 1):
+            own = slice(self.ends[b], self.ends[b + 1])
+            if own.start < own.stop:
+                low, high = self.low[own], self.high[own]
+                first = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1])
+                counts = np.diff(np.concatenate([first, [len(low)]])).astype("<u4")
+                places = np.flatnonzero(high != low)
+                rows.append((
+                    b, chunk, _bytes_of(self.major[own], widths[0]), _bytes_of(self.minor[own], widths[1]), low[first].astype("<i8").tobytes(), counts.tobytes(),
+                    places.astype("<u4").tobytes(), high[places].astype("<i8").tobytes(),
+                ))
+        names = ["bucket", "chunk", "major", "minor", "ids", "counts", "places", "highs"]
+        types = [pa.int64(), pa.int64(), *[pa.binary()] * 6]
+        return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(names, types))})
+
+    def applied(self, replies: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        """For each entry: whether a smaller id has its key, and if not, whether its major key is shared with other keys."""
+        later, shared = np.zeros(len(self.low), bool), np.zeros(len(self.low), bool)
+        for r in replies:
+            own = slice(self.ends[r["bucket"]], self.ends[r["bucket"] + 1])
+            later[own] = np.unpackbits(np.frombuffer(r["later"], np.uint8), count=own.stop - own.start).astype(bool)
+            shared[own] = np.unpackbits(np.frombuffer(r["shared"], np.uint8), count=own.stop - own.start).astype(bool)
+        later = later[self.of] | (self.ids > self.low[self.of])
+        return later, shared[self.of] & ~later
 
 
 def _answer(widths):
-    """In a bucket: which entries repeat a key of a smaller id, and which share the major key with other keys."""
+    """In a bucket: which chunks' keys a smaller id has elsewhere, and which share the major key with other keys."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -180,6 +210,9 @@ def _answer(widths):
         minor = np.concatenate([_values_of(r["minor"], widths[1]) for r in rows])
         sizes = [len(r["major"]) // widths[0] for r in rows]
         ids = np.concatenate([np.repeat(np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["counts"], "<u4")) for r in rows])
+        highs = ids.copy()
+        for r, start in zip(rows, np.cumsum([0, *sizes])):
+            highs[start + np.frombuffer(r["places"], "<u4").astype(np.int64)] = np.frombuffer(r["highs"], "<i8")
         order = np.lexsort((minor, major))
         a, b = major[order], minor[order]
         new_a = np.concatenate([[True], a[1:] != a[:-1]])
@@ -190,9 +223,8 @@ def _answer(widths):
         later[order] = ids[order] > np.repeat(lowest, np.diff(np.concatenate([first, [len(a)]])))
         # Several keys under one major key, of more than one document.
         at = np.flatnonzero(new_a)
-        mixed = (np.add.reduceat(new_b.astype(np.int64), at) > 1) & (np.minimum.reduceat(ids[order], at) < np.maximum.reduceat(ids[order], at))
+        mixed = (np.add.reduceat(new_b.astype(np.int64), at) > 1) & (np.minimum.reduceat(ids[order], at) < np.maximum.reduceat(highs[order], at))
         shared[order] = np.repeat(mixed, np.diff(np.concatenate([at, [len(a)]])))
-        shared &= ~later
         ends = np.cumsum(sizes)
         bits = lambda x: pa.array([np.packbits(x[e - n : e]).tobytes() for n, e in zip(sizes, ends)], pa.binary())
         return pa.table({
@@ -203,16 +235,6 @@ def _answer(widths):
     return run
 
 
-def _applied(replies: list[dict], n: int, order: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The answers, back in the order of the entries."""
-    later, shared = np.zeros(n, bool), np.zeros(n, bool)
-    for r in replies:
-        own = order[ends[r["bucket"]] : ends[r["bucket"] + 1]]
-        later[own] = np.unpackbits(np.frombuffer(r["later"], np.uint8), count=len(own)).astype(bool)
-        shared[own] = np.unpackbits(np.frombuffer(r["shared"], np.uint8), count=len(own)).astype(bool)
-    return later, shared
-
-
 class _Pass:
     """What the three passes do with a chunk."""
 
@@ -228,24 +250,24 @@ class _Pass:
     def first(self, table: pa.Table) -> pa.Table:
         table, buf, offsets, ids, scan = self.opened(table)
         anchor, segment, _, _, doc = scan.all_segments(buf, offsets)
-        return _sent(table.column("chunk")[0].as_py(), anchor, segment, ids[doc], 48, WIDTHS[1], self.buckets)
+        return _Keys(anchor, segment, ids[doc], 48, self.buckets).sent(table.column("chunk")[0].as_py(), WIDTHS[1])
 
-    def _settled(self, scan, buf, offsets, replies):
-        anchor, _, lo, hi, doc = scan.all_segments(buf, offsets)
-        later, shared = _applied([r for r in replies if r["step"] == 1], len(anchor), *_dealt(anchor, 48, self.buckets))
+    def _settled(self, scan, buf, offsets, ids, replies):
+        anchor, segment, lo, hi, doc = scan.all_segments(buf, offsets)
+        later, shared = _Keys(anchor, segment, ids[doc], 48, self.buckets).applied([r for r in replies if r["step"] == 1])
         start, one, two = scan.windows(buf, lo[shared], hi[shared]) if shared.any() else (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64))
         return lo[later], hi[later], start, one, two, np.repeat(doc[shared], (hi - lo + 1)[shared])
 
     def second(self, table: pa.Table, replies: pa.Table) -> pa.Table:
         table, buf, offsets, ids, scan = self.opened(table)
-        _, _, _, one, two, doc = self._settled(scan, buf, offsets, replies.to_pylist())
-        return _sent(table.column("chunk")[0].as_py(), one, two, ids[doc], 64, WIDTHS[2], self.buckets)
+        _, _, _, one, two, doc = self._settled(scan, buf, offsets, ids, replies.to_pylist())
+        return _Keys(one, two, ids[doc], 64, self.buckets).sent(table.column("chunk")[0].as_py(), WIDTHS[2])
 
     def third(self, table: pa.Table, replies: pa.Table) -> pa.Table:
         table, buf, offsets, ids, scan = self.opened(table)
         replies = replies.to_pylist()
-        lo, hi, start, one, _, _ = self._settled(scan, buf, offsets, replies)
-        later, _ = _applied([r for r in replies if r["step"] == 2], len(one), *_dealt(one, 64, self.buckets))
+        lo, hi, start, one, two, doc = self._settled(scan, buf, offsets, ids, replies)
+        later, _ = _Keys(one, two, ids[doc], 64, self.buckets).applied([r for r in replies if r["step"] == 2])
         edge = np.zeros(len(buf) + 1, np.int32)
         np.add.at(edge, lo, 1)
         np.add.at(edge, hi + self.window, -1)

@@ -164,6 +164,29 @@ def test_repeats(spark, window, gram, chunk, block, monkeypatch):
     assert all(s["start"] < s["end"] and (k == 0 or r["spans"][k - 1]["end"] < s["start"]) for r in found for k, s in enumerate(r["spans"]))
 
 
+def test_a_key_is_sent_once_for_a_chunk():
+    import pyarrow as pa
+
+    passage = " ".join(str(k * k) for k in range(200))
+    for texts in ([passage] * 500, ["-" * 20_000, " " * 20_000]):
+        data = [t.encode() for t in texts]
+        ids = list(range(len(data)))
+        table = pa.table({"id": ids, "mark": ids, "chunk": [0] * len(data), "data": pa.array(data, pa.binary())})
+        sent = sum(len(r) // suffixes.WIDTHS[1][0] for r in suffixes._Pass(50, 24, 4).first(table).column("major").to_pylist())
+        one = sum(len(r) // suffixes.WIDTHS[1][0] for r in suffixes._Pass(50, 24, 4).first(table.slice(0, 1)).column("major").to_pylist())
+        assert 0 < sent <= 2 * one < 1000
+
+
+@pytest.mark.parametrize("chunk", [8_000_000, 2000])
+def test_a_common_passage(spark, chunk):
+    rng = np.random.default_rng(8)
+    passage = " ".join(map(str, rng.integers(0, 99, 40)))
+    word = lambda: " ".join(map(str, rng.integers(0, 10**6, 9)))
+    rows = [(int(k) if k % 7 else 5, f"{word()} {passage if k % 3 else '-' * 90} {word()}") for k in rng.permutation(120)]
+    found = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=chunk).collect()
+    assert sorted(((r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), bytes(r["kept"])) for r in found), key=str) == brute_repeats(rows, 50)
+
+
 def test_no_documents_to_repeat(spark):
     assert suffixes.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

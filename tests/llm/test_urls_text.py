@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from tessella.llm import page_text, urls
@@ -59,6 +61,75 @@ def test_min_cut_is_minimal():
         assert cost(found) == min(cost(s) for s in itertools.product([False, True], repeat=n))
 
 
+@pytest.mark.parametrize("inside", [
+    f'<p title="the hidden cave">{LONG}</p>', f'<p class="meta-analysis">{LONG}</p>', f'<section id="search-algorithms"><p>{LONG}</p></section>', f'<p data-x="display:none">{LONG}</p>', "<p>Yes.</p>",
+    f'<header><h2>Of it</h2></header><p>{LONG}</p>', '<p><a href="/x">Only a link here</a></p>', f'<div class="content"><p>{LONG}</p></div>', f'<p class="legal tags">{LONG}</p>',
+])
+def test_what_stays_in_an_article(inside):
+    found = page_text.main_text(f"<body><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>{LONG}</p>{inside}<p>{LONG}</p></article><footer>End</footer></body>")
+    body = re.sub(r"<[^>]*>", "\n", inside)
+    assert found.split("\n") == ["Title", LONG.strip(), *(x.strip() for x in body.split("\n") if x.strip()), LONG.strip()]
+
+
+def test_the_cut_decides():
+    import duckdb
+
+    flows, unlike, pages = [0], 0, [h for (h,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()]
+    max_flow = page_text._max_flow
+
+    def counted(*args):
+        flows[0] += 1
+        return max_flow(*args)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(page_text, "_max_flow", counted)
+        for page in pages:
+            blocks, nodes = page_text.blocks_of(page)
+            source, sink, arcs = page_text.graph(blocks, nodes)
+            labels = page_text.min_cut(source, sink, arcs)
+            unlike += sum(label != (s > t) for label, s, t, _ in zip(labels, source, sink, blocks))
+    assert flows[0] == len(pages) and unlike > 0
+    # A list of links is boilerplate, a link between paragraphs is not, though their own costs are alike.
+    links, link = "<ul>" + "<li><a href=/x>More of it</a>" * 9 + "</ul>", "<p><a href=/x>More of it</a></p>"
+    assert page_text.main_text(f"<p>{LONG}</p>{links}<p>{LONG}</p>").count("More") == 0 and page_text.main_text(f"<p>{LONG}</p>{link}<p>{LONG}</p>").count("More") == 1
+
+
+PARTS = ["<p>one two</p>", f"<p>{LONG}</p>", "<nav><a href=/>Home</a>", "</nav>", "<aside>", "</aside>", "<article>", "</article>", '<div class="tags">a, b</div>', "<h2>Head</h2>", "<div><p>x</p>", "</div>", "<a href=/>link</a><br>"]
+
+
+def test_cuts_of_whole_pages():
+    import itertools
+    import random
+
+    rng, tried = random.Random(5), 0
+    while tried < 40:
+        page = "".join(rng.choice(PARTS) for _ in range(9))
+        blocks, nodes = page_text.blocks_of(page)
+        n = len(blocks) + len(nodes)
+        if not 2 <= n <= 11:
+            continue
+        tried += 1
+        source, sink, arcs = page_text.graph(blocks, nodes)
+        cost = lambda side: sum(t if s else f for s, f, t in zip(side, source, sink)) + sum(c for a, b, c in arcs if side[a] != side[b])  # noqa: E731, B023
+        best = min(cost(s) for s in itertools.product([False, True], repeat=n))
+        labels = page_text.min_cut(source, sink, arcs)
+        assert abs(cost(labels) - best) < 1e-6
+        assert page_text.main_text(page) == "\n".join(b.text for b, label in zip(blocks, labels) if label)
+
+
+@pytest.mark.parametrize("piece", ["<div>x ", '<a "', '<a ">"', "<b><div>", "<div><li></li>", "<p>word</p>", "<article><p>word</p><aside>x</aside>", "<![CDATA[", "<!-", "<i></b>", "<p><div>", "<!--", "<script>", "<td><p>"])
+def test_long_pages_take_time_in_proportion(piece):
+    import time
+
+    def seconds(size):
+        page, began = piece * (size // len(piece)), time.process_time()
+        page_text.main_text(page)
+        return time.process_time() - began
+
+    seconds(10_000)
+    assert seconds(400_000) < 10 * max(seconds(80_000), 0.1)
+
+
 def test_many_blocks():
     page = "<article>" + "".join(f"<p>paragraph {k} of a very long page</p>" for k in range(3000)) + "</article>"
     assert page_text.main_text(page).count("\n") == 2999

@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tessella-")
+        folder = scratch(spark, "file://" + tempfile.mkdtemp(prefix="tessella-"))
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder
@@ -42,34 +42,52 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH")) if x)
 
 
-#: Folders written by this process, with the session's JVM.
-_WRITTEN: list[tuple] = []
+#: Folders written by this process, and tables over them (or None), with their session.
+_WRITTEN: list[tuple[SparkSession, str, str | None]] = []
 
 
 @atexit.register
 def _remove_written() -> None:
     """Results are lazy and may read a staged table at any time; when the driver's process ends nothing does."""
-    for jvm, conf, folder in _WRITTEN:
+    for spark, folder, table in _WRITTEN:
         with contextlib.suppress(Exception):  # the JVM may be gone; the folder is scratch space
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def scratch(spark: SparkSession, folder: str) -> str:
-    """folder, to be removed when the driver's process ends."""
-    _WRITTEN.append((spark._jvm, spark._jsc.hadoopConfiguration(), folder))
+def scratch(spark: SparkSession, folder: str, table: str | None = None) -> str:
+    """folder, to be removed (and the table over it dropped) when the driver's process ends."""
+    _WRITTEN.append((spark, folder, table))
     return folder
 
 
-def stage_path(spark: SparkSession, name: str) -> str:
-    return scratch(spark, f"{shared_dir(spark)}/tessella/{uuid.uuid4().hex}-{name}")
+def stage_path(spark: SparkSession, name: str, table: str | None = None) -> str:
+    return scratch(spark, f"{shared_dir(spark)}/tessella/{uuid.uuid4().hex}-{name}", table)
+
+
+#: Spark's own switch that removes the shuffle files of a query when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Shuffle files of what is written in here go as soon as it is written."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read back: the lineage ends there."""
     spark = df.sparkSession
     path = stage_path(spark, name)
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -10,23 +10,25 @@ digits; equal groups of the last pass are exactly the repeated windows.
    one segment has no repeats elsewhere. Both are settled here.
 3. Last digit: the window itself, for segments that share their anchor with others.
 
-Digits are compared as hashes (88 bits in pass 2 and 3 together with the anchor). Entries
-of a chunk of documents go to a bucket in one packed row and the answer comes back in
-one, so the shuffle holds eleven bytes for each anchor, not a row for every window. The
-chunks are a bucketed table: passes are joined to it without moving the texts again.
+Digits are compared as hashes: 48 bits for an anchor and 64 for a segment under it, 88
+for a window. Entries of a chunk of documents go to a bucket in one packed row and the
+answer comes back in one, so the shuffle holds fourteen bytes for each anchor, not a row for
+every window. An anchor with several segments in a chunk is salted: its entries are dealt by
+their segments as well, and a single mark tells the anchor's bucket of them, which so
+gets one entry for each chunk however many documents share the anchor. The chunks
+are a bucketed table: passes are joined to it without moving the texts again.
 """
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, shared_dir, staged
+from .common import shuffles_removed, stage_path, staged
 
 LOW = np.uint64((1 << 24) - 1)
 BLOCK = 1 << 18
@@ -108,7 +110,7 @@ class Scan:
             h = (s[e] - s[lo]) * self.down[lo] + (p - lo).astype(np.uint64) * MIX + (e - lo).astype(np.uint64) * np.uint64(BASE)
             doc = np.searchsorted(offsets[first:last] - at, lo, side="right") - 1 + first
             # The smallest hashes are small: mixed once more, their leading bits are even.
-            yield at, self.mixed(v[p] + np.uint64(BASE)) >> np.uint64(16), self.mixed(h) >> np.uint64(24), lo + at, hi + at, doc
+            yield at, self.mixed(v[p] + np.uint64(BASE)) >> np.uint64(16), self.mixed(h), lo + at, hi + at, doc
 
     def all_segments(self, buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         parts = [x[1:] for x in self.segments(buf, offsets)]
@@ -146,7 +148,7 @@ def _values_of(data: bytes, width: int) -> np.ndarray:
 TO_BUCKET = "bucket long, chunk long, major binary, minor binary, ids binary, counts binary, places binary, highs binary"
 #: Rows back to a chunk: for each key, in the order it was sent in, two bits.
 TO_CHUNK = "chunk long, bucket long, later binary, shared binary"
-WIDTHS = {1: (6, 5), 2: (8, 3)}
+WIDTHS = {1: (6, 8), 2: (8, 3)}
 
 
 class _Keys:
@@ -247,26 +249,50 @@ class _Pass:
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
         return table, np.frombuffer(b"".join(texts), np.uint8), offsets, table.column("id").to_numpy(), Scan(self.window, self.gram)
 
+    def salted(self, scan: Scan, anchor: np.ndarray, segment: np.ndarray, ids: np.ndarray, chunk: int) -> tuple[_Keys, np.ndarray]:
+        """The keys of a chunk's segments, and for each segment whether other documents of the chunk have another one under its anchor."""
+        order = np.lexsort((segment, anchor))
+        a, b, i = anchor[order], segment[order], ids[order]
+        new_a = np.ones(len(a), bool)
+        new_a[1:] = a[1:] != a[:-1]
+        new_b = new_a.copy()
+        new_b[1:] |= b[1:] != b[:-1]
+        at = np.flatnonzero(new_a)
+        mixed, low, high = np.zeros(len(a), bool), *((f.reduceat(i, at) if len(at) else i) for f in (np.minimum, np.maximum))
+        if len(at):
+            several = (np.add.reduceat(new_b.astype(np.int64), at) > 1) & (low < high)
+            mixed[order] = np.repeat(several, np.diff(np.concatenate([at, [len(a)]])))
+            low, high, at = low[several], high[several], at[several]
+        # A mark for each salted anchor: a key of this chunk alone, with the anchor's smallest and largest id.
+        own = a[at]
+        mark = scan.mixed(own + scan.mixed(np.full(len(own), chunk, np.uint64) + np.uint64(BASE)))
+        major = np.where(mixed, scan.mixed(anchor * MIX ^ segment) >> np.uint64(16), anchor)
+        return _Keys(np.concatenate([major, own, own]), np.concatenate([segment, mark, mark]), np.concatenate([ids, low, high]), 48, self.buckets), mixed
+
     def first(self, table: pa.Table) -> pa.Table:
         table, buf, offsets, ids, scan = self.opened(table)
         anchor, segment, _, _, doc = scan.all_segments(buf, offsets)
-        return _Keys(anchor, segment, ids[doc], 48, self.buckets).sent(table.column("chunk")[0].as_py(), WIDTHS[1])
+        chunk = table.column("chunk")[0].as_py()
+        return self.salted(scan, anchor, segment, ids[doc], chunk)[0].sent(chunk, WIDTHS[1])
 
-    def _settled(self, scan, buf, offsets, ids, replies):
+    def _settled(self, scan, buf, offsets, ids, chunk, replies):
         anchor, segment, lo, hi, doc = scan.all_segments(buf, offsets)
-        later, shared = _Keys(anchor, segment, ids[doc], 48, self.buckets).applied([r for r in replies if r["step"] == 1])
+        keys, mixed = self.salted(scan, anchor, segment, ids[doc], chunk)
+        later, shared = (x[: len(doc)] for x in keys.applied([r for r in replies if r["step"] == 1]))
+        shared |= mixed & ~later
         start, one, two = scan.windows(buf, lo[shared], hi[shared]) if shared.any() else (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64))
         return lo[later], hi[later], start, one, two, np.repeat(doc[shared], (hi - lo + 1)[shared])
 
     def second(self, table: pa.Table, replies: pa.Table) -> pa.Table:
         table, buf, offsets, ids, scan = self.opened(table)
-        _, _, _, one, two, doc = self._settled(scan, buf, offsets, ids, replies.to_pylist())
-        return _Keys(one, two, ids[doc], 64, self.buckets).sent(table.column("chunk")[0].as_py(), WIDTHS[2])
+        chunk = table.column("chunk")[0].as_py()
+        _, _, _, one, two, doc = self._settled(scan, buf, offsets, ids, chunk, replies.to_pylist())
+        return _Keys(one, two, ids[doc], 64, self.buckets).sent(chunk, WIDTHS[2])
 
     def third(self, table: pa.Table, replies: pa.Table) -> pa.Table:
         table, buf, offsets, ids, scan = self.opened(table)
         replies = replies.to_pylist()
-        lo, hi, start, one, two, doc = self._settled(scan, buf, offsets, ids, replies)
+        lo, hi, start, one, two, doc = self._settled(scan, buf, offsets, ids, table.column("chunk")[0].as_py(), replies)
         later, _ = _Keys(one, two, ids[doc], 64, self.buckets).applied([r for r in replies if r["step"] == 2])
         edge = np.zeros(len(buf) + 1, np.int32)
         np.add.at(edge, lo, 1)
@@ -288,12 +314,6 @@ class _Pass:
         return pa.table({"id": table.column("own_id"), "n_bytes": pa.array(np.diff(offsets)), "spans": pa.array(spans, span), "kept": pa.array(kept, pa.binary())})
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of what is no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", window=50, gram=24, chunk_bytes=8_000_000) -> DataFrame:
     """Removes every byte covered by a window that also starts in a document with a smaller id.
 
@@ -308,7 +328,6 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", window=
     with the square root of the total, so that packed rows do not become too short.
     """
     spark = docs.sparkSession
-    shared_dir(spark)
     data = F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b""))
     rows = docs.select(F.col(id_col).cast("long").alias("own_id"), data.alias("data"))
     total = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
@@ -316,9 +335,8 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", window=
     rows = rows.withColumn("id", F.coalesce("own_id", F.lit(2**63 - 1))).withColumn("mark", F.xxhash64("data"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "mark"), F.lit(chunks)))
     name = f"tessella_{uuid.uuid4().hex}"
-    scratch(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/{name}")
-    rows.repartition(chunks, "chunk").write.bucketBy(chunks, "chunk").format("parquet").saveAsTable(name)
-    _release(spark)
+    with shuffles_removed(spark):
+        rows.repartition(chunks, "chunk").write.bucketBy(chunks, "chunk").format("parquet").option("path", stage_path(spark, "chunks", name)).saveAsTable(name)
     base, work = spark.table(name), _Pass(window, gram, chunks)
 
     def answered(sent: DataFrame, step: int) -> DataFrame:
@@ -329,8 +347,6 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", window=
         return base.groupBy("chunk").cogroup(replies.repartition(chunks, "chunk").groupBy("chunk")).applyInArrow(function, schema)
 
     one = answered(base.groupBy("chunk").applyInArrow(lambda t: work.first(t), TO_BUCKET), 1)
-    _release(spark)
     two = answered(with_replies(one, lambda t, r: work.second(t, r), TO_BUCKET), 2)
-    _release(spark)
     result = with_replies(one.unionAll(two), lambda t, r: work.third(t, r), "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     return result.withColumnRenamed("id", id_col)

@@ -1,3 +1,4 @@
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -177,7 +178,32 @@ def test_a_key_is_sent_once_for_a_chunk():
         assert 0 < sent <= 2 * one < 1000
 
 
-@pytest.mark.parametrize("chunk", [8_000_000, 2000])
+def test_a_hot_anchor_is_salted():
+    """Many documents share an anchor with different surroundings: its bucket gets a mark for each chunk."""
+    import pyarrow as pa
+
+    passage = " ".join(str(k * k) for k in range(18))
+    most = {}
+    for n in (50, 500):
+        data = [f"{k * 7919} {passage} {k * 104729}".encode() for k in range(n)]
+        table = pa.table({"id": list(range(n)), "mark": list(range(n)), "chunk": [0] * n, "data": pa.array(data, pa.binary())})
+        keys = suffixes._Pass(50, 24, 64).first(table)
+        counts = np.concatenate([np.unique(suffixes._values_of(m, 6), return_counts=True)[1] for m in keys.column("major").to_pylist()])
+        most[n] = counts.max()
+        assert len(counts) > n  # the segments are there, each under its own key
+    assert most[50] == most[500] == 1
+
+
+def test_chunks_are_in_the_shared_folder(spark):
+    before = set(os.listdir(".")), {t.name for t in spark.catalog.listTables()}
+    suffixes.remove_repeats(spark.createDataFrame([(1, "a" * 90), (2, "a" * 70)], "doc_id long, text string")).count()
+    table = next(t for _, _, t in reversed(common._WRITTEN) if t)
+    place = spark.sql(f"DESCRIBE FORMATTED {table}").where("col_name = 'Location'").first()["data_type"]
+    assert place.removeprefix("file:").lstrip("/").startswith(common.shared_dir(spark).removeprefix("file:").lstrip("/"))
+    assert set(os.listdir(".")) - before[0] <= {"metastore_db", "derby.log", "spark-warehouse"}
+
+
+@pytest.mark.parametrize("chunk", [8_000_000, 2000, 300])
 def test_a_common_passage(spark, chunk):
     rng = np.random.default_rng(8)
     passage = " ".join(map(str, rng.integers(0, 99, 40)))

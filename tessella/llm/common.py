@@ -15,6 +15,24 @@ from pyspark.sql import functions as F
 SPACES = r"\x20\x09-\x0D"
 
 
+def named(column: str):
+    """A column by its exact name, whatever characters it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def mapped(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow by place: names of df's columns, which may hold dots, are not looked at."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(function, schema)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 

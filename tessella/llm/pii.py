@@ -12,12 +12,14 @@ import datetime
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import mapped, named
+
 ROUNDS = 8
 #: Values of formats with at least so many members are permuted symbol by symbol: as numbers they outgrow the digest.
 WIDE = 1 << 256
@@ -127,7 +129,22 @@ def in_hex(text: str) -> bool:
 CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 HEX = "0123456789abcdef"
 #: Days on which pseudonymous dates fall: 1900-01-01 up to 2099-12-31.
-FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal() - datetime.date(1900, 1, 1).toordinal() + 1
+DAYS = range(datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal() + 1)
+#: Octets written with one, two or three digits.
+OCTETS = {1: range(0, 10), 2: range(10, 100), 3: range(100, 256)}
+
+
+@cache
+def days_written(month_first: bool, day_digits: int, month_digits: int) -> tuple[list[int], dict[int, int]]:
+    """The days that a format can write, and the place of each: days 1 to 9 alone fit one digit, and so on.
+
+    In slashes a second number above 12 is what tells that the month comes first.
+    """
+    fits = [
+        n for n in DAYS for d in (datetime.date.fromordinal(n),)
+        if (day_digits == 2 or d.day <= 9) and (month_digits == 2 or d.month <= 9) and (not month_first or d.day > 12)
+    ]
+    return fits, {n: k for k, n in enumerate(fits)}
 
 #: What each kind looks like before its check.
 PATTERNS = {
@@ -225,25 +242,32 @@ class Pseudonyms:
         parts = text.split(".")
         if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
             return None
-        x = self.permuted("ip", 1 << 32, int.from_bytes(bytes(map(int, parts)), "big"))
-        return ".".join(map(str, x.to_bytes(4, "big")))
+        # Each octet keeps its number of digits.
+        ranges, x, n = [OCTETS[len(p)] for p in parts], 0, 1
+        for p, r in zip(parts, ranges):
+            x, n = x * len(r) + int(p) - r.start, n * len(r)
+        x, out = self.permuted("ip:" + ".".join(str(len(p)) for p in parts), n, x), []
+        for r in reversed(ranges):
+            x, at = divmod(x, len(r))
+            out.append(str(r[at]))
+        return ".".join(reversed(out))
 
     def date(self, text: str) -> str | None:
         parts = re.split(r"([./-])", text)
         # Where year, month and day stand; 12/31/1999 can only be month first.
-        if len(parts[0]) == 4:
-            at = 0, 2, 4
-        else:
-            at = (4, 0, 2) if parts[1] == "/" and int(parts[2]) > 12 else (4, 2, 0)
+        month_first = len(parts[0]) < 4 and parts[1] == "/" and int(parts[2]) > 12
+        at = (0, 2, 4) if len(parts[0]) == 4 else (4, 0, 2) if month_first else (4, 2, 0)
         try:
-            day = datetime.date(*(int(parts[k]) for k in at)).toordinal() - FIRST_DAY
+            day = datetime.date(*(int(parts[k]) for k in at)).toordinal()
         except ValueError:
             return None
-        if not 0 <= day < DAYS:
+        form = month_first, len(parts[at[2]]), len(parts[at[1]])
+        days, places = days_written(*form)
+        if day not in places:
             return None
-        new = datetime.date.fromordinal(FIRST_DAY + self.permuted("date", DAYS, day))
-        for k, value in zip(at, (f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}")):
-            parts[k] = value
+        new = datetime.date.fromordinal(days[self.permuted(f"date:{form}", len(days), places[day])])
+        for k, value in zip(at, (new.year, new.month, new.day)):
+            parts[k] = str(value).zfill(len(parts[k]))
         return "".join(parts)
 
     def phone(self, text: str) -> str | None:
@@ -295,35 +319,41 @@ class Pseudonyms:
 
 
 class _Replace:
-    def __init__(self, key: bytes, text_col: str):
-        self.key, self.text_col = key, text_col
+    """at: the place of the text. Counts follow the columns if asked for."""
+
+    def __init__(self, key: bytes, at: int, counts: bool):
+        self.key, self.at, self.counts = key, at, counts
 
     def __call__(self, batches) -> Iterator:
         import pyarrow as pa
 
         names = Pseudonyms(self.key)
         for batch in batches:
-            at = batch.schema.get_field_index(self.text_col)
-            found = [(None, {}) if t is None else names(t) for t in batch.column(at).to_pylist()]
-            columns = [pa.array([x for x, _ in found], pa.string()) if k == at else batch.column(k) for k in range(batch.num_columns)]
-            counts = [pa.array([c.get(kind, 0) for _, c in found], pa.int32()) for kind in KINDS]
-            yield pa.RecordBatch.from_arrays([*columns, *counts], [*batch.schema.names, *[f"pii_{kind}" for kind in KINDS]])
+            found = [(None, {}) if t is None else names(t) for t in batch.column(self.at).to_pylist()]
+            columns = [pa.array([x for x, _ in found], pa.string()) if k == self.at else batch.column(k) for k in range(batch.num_columns)]
+            if self.counts:
+                columns += [pa.array([c.get(kind, 0) for _, c in found], pa.int32()) for kind in KINDS]
+            yield pa.RecordBatch.from_arrays(columns, [f"c{k}" for k in range(len(columns))])
 
 
-def pseudonymise(docs: DataFrame, *, key: str = "public-test-key", text_col="text") -> DataFrame:
-    """docs with the personal data in text_col replaced, and pii_<kind>, how many of each kind.
+def pseudonymise(docs: DataFrame, *, key: str = "public-test-key", text_col="text", counts=True) -> DataFrame:
+    """docs with the personal data in text_col replaced, and (with counts) pii_<kind>, how many of each kind.
 
     Kinds: email, access_key, secret, iban, ip, date, phone, ssn, card. Only values
     that pass their kind's check are replaced (Luhn, IBAN's remainder, octets up to
     255, days of the calendar from 1900 to 2099, and so on); their pseudonyms pass it
-    too and keep separators, lengths and places of letters and digits. In production
+    too and keep separators, the length of each number, and places of letters and digits:
+    1.2.1999 becomes another day with one digit for day and month, 10.2.3.4 another address
+    of octets as long. Dates and addresses written with other lengths are other formats, and
+    are linked within their format only. In production
     the key comes from a secret store: whoever holds it can undo the pseudonyms.
 
     A null text stays null with zero counts, an empty one empty; all other columns
-    come through, and columns of docs named like a count are replaced by it; every
-    row is worked on alone.
+    come through. With counts, columns of docs named like a count are replaced by it; without,
+    the columns are those of docs. Every row is worked on alone; an empty table gives an empty result.
     """
-    clash = [f"pii_{kind}" for kind in KINDS if f"pii_{kind}" in docs.columns and f"pii_{kind}" != text_col]
-    docs = docs.drop(*clash).withColumn(text_col, F.col(text_col).cast("string"))
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(f"pii_{kind}", T.IntegerType()) for kind in KINDS]])
-    return docs.mapInArrow(_Replace(key.encode(), text_col), schema)
+    names = [f"pii_{kind}" for kind in KINDS] if counts else []
+    rest = [c for c in docs.columns if c == text_col or c.lower() not in names]
+    rows = docs.select(*[named(c).cast("string").alias(c) if c == text_col else named(c) for c in rest])
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(n, T.IntegerType()) for n in names]])
+    return mapped(rows, _Replace(key.encode(), rest.index(text_col), counts), schema)

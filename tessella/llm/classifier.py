@@ -11,8 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import mapped, named
 
 WIDTH, STRIDE, HALF = 8, 2, 256
 FILTERS, HIDDEN = 24, 16
@@ -104,27 +107,29 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.combine, -30, 30)))
 
 
-def train(texts: list[bytes], labels: np.ndarray, *, epochs=6, batch=256, rate=0.01, most_chunks=12, seed=7) -> Network:
-    """Fits a network. Each text gives at most most_chunks chunks, spread over all of it, and two short pieces:
+def train(texts: list[bytes], labels: np.ndarray, *, epochs=6, batch=256, rate=0.01, seed=7) -> Network:
+    """Fits a network on whole texts: on every chunk of each, and on two short pieces of it, as
     few of the texts to learn from are short, but short ones are to be judged as well."""
     net, rng = Network(seed), np.random.default_rng(seed)
     if not len(labels) or labels.min() == labels.max():
         net.prior = float(labels[0]) if len(labels) else 0.5
         return net
     span = 2 * HALF + WIDTH
-    chunks, of = [], []
+    # Chunks are places in one buffer; only a batch of them is laid out at a time.
+    starts, sizes, of, begun = [], [], [], 0
     for k, text in enumerate(texts):
-        n = max(halves(text) - 1, 1)
-        for at in range(n) if n <= most_chunks else np.linspace(0, n - 1, most_chunks).astype(int):
-            chunks.append(text[at * HALF : at * HALF + span])
-            of.append(k)
-        for n in rng.integers(8, 250, 2).tolist():
-            at = int(rng.integers(0, max(1, len(text) - n)))
-            at = text.rfind(b" ", 0, at) + 1
-            chunks.append(text[at : at + n])
-            of.append(k)
-    lengths = np.array([min(len(c), 2 * HALF) for c in chunks])
-    data = np.frombuffer(b"".join(c.ljust(span, b"\0") for c in chunks), np.uint8).reshape(-1, span)
+        at = np.arange(max(halves(text) - 1, 1)) * HALF
+        short = rng.integers(8, 250, 2)
+        places = [text.rfind(b" ", 0, int(rng.integers(0, max(1, len(text) - n)))) + 1 for n in short.tolist()]
+        at, ends = np.concatenate([at, places]), np.concatenate([at + span, places + short])
+        starts.append(begun + at)
+        sizes.append(np.minimum(ends, len(text)) - at)
+        of.append(np.full(len(at), k))
+        begun += len(text)
+    starts, sizes, of = np.concatenate(starts), np.maximum(np.concatenate(sizes), 0), np.concatenate(of)
+    buffer = np.frombuffer(b"".join(texts) + bytes(span), np.uint8)
+    reach = np.arange(span)
+    lengths = np.minimum(sizes, 2 * HALF)
     y, share = labels[of].astype(np.float32), np.bincount(of)[of].astype(np.float32)
     weight = 1 / share**0.5
     # Both classes weigh the same to the filters; the last layer is fitted to the true shares.
@@ -141,14 +146,15 @@ def train(texts: list[bytes], labels: np.ndarray, *, epochs=6, batch=256, rate=0
         m[1] = 0.99 * m[1] + 0.01 * grad**2
         value -= rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8)
 
-    starts = np.arange(0, 2 * HALF, STRIDE)
+    windows = 2 * HALF // STRIDE
     for epoch in range(epochs):
-        order = rng.permutation(len(data))
+        order = rng.permutation(len(starts))
         for k in range(0, len(order), batch):
             step += 1
             rows = order[k : k + batch]
-            x, n = data[rows], len(rows)
-            total = np.zeros((n, len(starts), FILTERS), np.float32)
+            n = len(rows)
+            x = np.where(reach < sizes[rows, None], buffer[starts[rows, None] + reach], 0)  # zero bytes fill up
+            total = np.zeros((n, windows, FILTERS), np.float32)
             for j in range(WIDTH):
                 total += net.table[j].take(x[:, j : j + 2 * HALF : STRIDE], axis=0)
             best = total.argmax(1)
@@ -183,29 +189,32 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="quality", most_rows=4000, most_bytes=16_384) -> Network:
-    """Fits the network on at most most_rows labelled rows that are not held out.
+def fit(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="quality", most_rows=4000, most_bytes=64_000_000) -> Network:
+    """Fits the network on whole texts of at most most_rows labelled rows that are not held out.
 
     The rows are the first by a hash of their ids; at most half of them are of each
-    label where there are enough. They reach the driver, each as at most most_bytes of its
-    text, in pieces spread over the whole of it: memory there is bounded by the two
-    parameters. A null label or id does not count; of ids with several labels the smallest does.
+    label where there are enough. They reach the driver as far as their texts come to
+    most_bytes together (rows beyond that are not learnt from; none is cut): memory there is
+    bounded by the two parameters. A null label or id does not count; of ids with several
+    labels the smallest does, of rows that repeat an id the one with the smallest text.
     """
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     usable = usable.groupBy(F.col(id_col).alias("of")).agg(F.min(label_col).alias("y"))
     order = F.xxhash64("of", F.lit("sample"))
     chosen = [usable.where(F.col("y") == y).orderBy(order).limit(n) for y, n in ((0, most_rows // 2), (1, most_rows - most_rows // 2))]
     sample = F.broadcast(chosen[0].unionAll(chosen[1]))  # most_rows rows at most
-    size, n = F.octet_length(F.col(text_col)), most_bytes // 1024
-    text = F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b""))
-    piece = lambda k: F.substring(text, (size * k / n).cast("int") + 1, F.lit(1024))
-    short = F.when(F.coalesce(size <= most_bytes, F.lit(True)), text).otherwise(F.concat(*[piece(k) for k in range(n)]))
-    rows = docs.join(sample, F.col(id_col) == F.col("of")).select("of", "y", short.alias("text")).toPandas()
-    rows = rows.drop_duplicates("of").sort_values("of")
+    text = F.coalesce(named(text_col).cast("string").cast("binary"), F.lit(b""))
+    rows = docs.select(named(id_col).alias("id"), text.alias("text")).join(sample, F.col("id") == F.col("of"))
+    rows = rows.groupBy("of", "y").agg(F.min("text").alias("text"))
+    # most_rows rows at most are ordered here.
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy(order, "of"))
+    rows = rows.withColumn("upto", upto).where(F.col("upto") <= most_bytes).select("of", "y", "text").toPandas().sort_values("of")
     return train([bytes(t) for t in rows["text"]], rows["y"].to_numpy(dtype=np.float64))
 
 
 class _Score:
+    """Replaces the last column, a text, by its score."""
+
     def __init__(self, net: Network):
         self.net = net
 
@@ -213,23 +222,19 @@ class _Score:
         import pyarrow as pa
 
         for batch in batches:
-            at = batch.schema.get_field_index("scored_text")
-            texts = [t or b"" for t in batch.column(at).to_pylist()]
+            texts = [t or b"" for t in batch.column(batch.num_columns - 1).to_pylist()]
             scores = [self.net.probability(texts[k : k + 64]) for k in range(0, len(texts), 64)]
             out = pa.array(np.concatenate(scores) if scores else np.empty(0), pa.float64())
-            columns = [batch.column(k) for k in range(batch.num_columns) if k != at]
-            yield pa.RecordBatch.from_arrays([*columns, out], [*[n for n in batch.schema.names if n != "scored_text"], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], batch.schema.names)
 
 
-def score(docs: DataFrame, net: Network, *, text_col="text", keep=None) -> DataFrame:
-    """docs' columns (or those in keep) and score: the probability of label 1 of each whole text.
+def score(docs: DataFrame, net: Network, *, text_col="text", keep=None, score_col="score") -> DataFrame:
+    """docs' columns (or those in keep) and score_col: the probability of label 1 of each whole text.
 
-    A column of docs called score or scored_text is left out. A null text is scored as an empty one. Every row is scored on its own, so repeated
-    rows agree; an empty table gives an empty result.
+    A column of docs called score_col is left out: name another one to keep it. A null text
+    is scored as an empty one. Every row is scored on its own, so repeated rows agree; an
+    empty table gives an empty result.
     """
-    from pyspark.sql import types as T
-
-    columns = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "scored_text")]
-    rows = docs.select(*columns, F.col(text_col).cast("string").cast("binary").alias("scored_text"))
-    schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_Score(net), schema)
+    columns = [named(c) for c in (docs.columns if keep is None else keep) if c.lower() != score_col.lower()]
+    schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField(score_col, T.DoubleType())])
+    return mapped(docs.select(*columns, named(text_col).cast("string").cast("binary")), _Score(net), schema)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, staged
+from .common import SPACES, mapped, named, staged
 
 
 def word_count(text):
@@ -67,7 +67,7 @@ def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source
     """
     base = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"),
-        F.xxhash64(F.col(id_col), F.lit("mix")).alias("key"), *[F.col(c).alias(f"carried_{c}") for c in carry],
+        F.xxhash64(F.col(id_col), F.lit("mix")).alias("key"), *[named(c).alias(f"carried_{c}") for c in carry],
     )
     narrow = staged(base.select("id", "source", "size", "key"), "sizes")
     per = staged(targets(narrow, weights, share, epochs), "targets")
@@ -92,7 +92,7 @@ def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source
     start = F.col("offset") + F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     last = F.least(F.greatest(F.col("rest") - start, F.lit(0)), F.col("size"))
     out = rows.withColumn("taken", (F.col("whole") * F.col("size") + last).cast("long"))
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", *[f"carried_{c}" for c in carry])
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", *[named(f"carried_{c}") for c in carry])
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -100,21 +100,26 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     A document taken in full e times comes e times; one taken in part comes once
     more with the text up to its last taken word, and n_chars, if docs has it, says
-    the length of what is there.
+    the length of what is there. Other columns come through, whatever they are called;
+    what mix() says of nulls, repeated ids and empty tables holds here.
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     rest = [c for c in docs.columns if c != id_col]
     plan = mix(docs, carry=rest, **options).where("taken > 0")
     wanted = F.when(F.col("taken") >= F.col("size"), F.when(F.col("taken") >= 2 * F.col("size"), F.array(F.col("size"), F.col("size"))).otherwise(F.array(F.col("size"), F.col("taken") - F.col("size")))).otherwise(F.array(F.col("taken")))
-    rows = plan.withColumn("words", F.explode(F.filter(wanted, lambda x: x > 0)))
-    return rows.mapInArrow(_Cut(id_col, rest, text_col), docs.select(id_col, *rest).schema).select(*docs.columns)
+    rows = plan.select(named(id_col), F.explode(F.filter(wanted, lambda x: x > 0)), "size", *[named(f"carried_{c}") for c in rest])
+    at = [rest.index(text_col), rest.index("n_chars") if "n_chars" in rest else None]
+    return mapped(rows, _Cut(*at), docs.select(*map(named, (id_col, *rest))).schema).select(*map(named, docs.columns))
 
 
 class _Cut:
-    """Cuts each text after its wanted number of words."""
+    """(id, wanted words, words, columns) to (id, columns): each text up to its last wanted word.
 
-    def __init__(self, id_col: str, rest: list[str], text_col: str):
-        self.id_col, self.rest, self.text_col = id_col, rest, text_col
+    text_at, chars_at: the places of the text and its length among the columns.
+    """
+
+    def __init__(self, text_at: int, chars_at: int | None):
+        self.text_at, self.chars_at = text_at, chars_at
 
     def __call__(self, batches):
         import re
@@ -124,14 +129,10 @@ class _Cut:
 
         word = re.compile(r"[^\x20\x09-\x0D]+")
         for batch in batches:
-            by_name = dict(zip(reversed(batch.schema.names), reversed(batch.columns)))
-            texts, words, sizes = (by_name[n].to_pylist() for n in (f"carried_{self.text_col}", "words", "size"))
+            columns = list(batch.columns[3:])
+            texts, words, sizes = columns[self.text_at].to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             cut = [t if w >= s else t[: next(islice(word.finditer(t), w - 1, None)).end()] for t, w, s in zip(texts, words, sizes)]
-            columns = [batch.column(0)]  # the id
-            for name in self.rest:
-                old = by_name[f"carried_{name}"]
-                new = pa.array(cut, old.type) if name == self.text_col else old
-                if name == "n_chars":
-                    new = pa.array([len(t) for t in cut]).cast(old.type)
-                columns.append(new)
-            yield pa.RecordBatch.from_arrays(columns, [self.id_col, *self.rest])
+            columns[self.text_at] = pa.array(cut, columns[self.text_at].type)
+            if self.chars_at is not None:
+                columns[self.chars_at] = pa.array([len(t) for t in cut]).cast(columns[self.chars_at].type)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [f"c{k}" for k in range(len(columns) + 1)])

@@ -17,9 +17,10 @@ from html import unescape
 from math import log2
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import mapped, named
+
 #: Fixed values of the HTML standard: elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never shown as text.
@@ -432,7 +433,7 @@ class _Extract:
         for batch in batches:
             texts = [main_text(h) for h in batch.column(batch.num_columns - 1).to_pylist()]
             columns = [*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "n_chars"])
 
 
 def extract(pages: DataFrame, *, html_col="html", keep=("page_id", "url")) -> DataFrame:
@@ -444,6 +445,6 @@ def extract(pages: DataFrame, *, html_col="html", keep=("page_id", "url")) -> Da
     other columns, whatever they are called, are not looked at. Reading a page takes time
     in proportion to its length, however its tags nest and its quotes stay open.
     """
-    rows = pages.select(*keep, F.col(html_col).cast("string").alias("html_in"))
+    rows = pages.select(*keep, named(html_col).cast("string"))
     schema = T.StructType([*pages.select(*keep).schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return rows.mapInArrow(_Extract(), schema)
+    return mapped(rows, _Extract(), schema)

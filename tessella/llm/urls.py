@@ -13,6 +13,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import page_text
 from .common import components, staged
 
 #: Up to so many rules become one expression; more are joined by host.
@@ -80,14 +81,37 @@ def page_links(pages: DataFrame, *, url_col="url", html_col="html") -> DataFrame
     return marked.select(F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(_named, "a string, b string")
 
 
-TAG = re.compile(r"<(link|meta)\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I)
-ATTRIBUTE = re.compile(r"([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 REFRESH = re.compile(r"url\s*=\s*['\"]?([^'\"\s]+)", re.I)
 
 
+def targets_of(page: str) -> list[str]:
+    """What the canonical links and refreshes of a page name; comments, scripts and other raw text hold no links."""
+    from html import unescape
+
+    out, at, skip = [], 0, ""
+    for start, stop, tag, ends, attrs in page_text.tags_of(page):
+        if start < at:
+            continue
+        if skip:
+            skip = "" if ends and tag == skip else skip
+            continue
+        if tag in page_text.RAW and tag != "head" and not ends and not attrs.endswith("/"):
+            if tag in ("script", "style", "title", "textarea"):
+                end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, stop)
+                at = end.end() if end else len(page)
+            else:
+                skip = tag
+        elif tag in ("link", "meta"):
+            has = {name: unescape(value).strip() for name, value in page_text.attributes(attrs).items()}
+            if tag == "link" and "canonical" in has.get("rel", "").lower().split():
+                out.append(has.get("href", ""))
+            elif tag == "meta" and has.get("http-equiv", "").lower() == "refresh" and (found := REFRESH.search(has.get("content", ""))):
+                out.append(found[1])
+    return [x for x in out if x]
+
+
 def _named(batches):
     """The canonical and refresh targets of pages, made absolute."""
-    from html import unescape
     from urllib.parse import urljoin
 
     import pyarrow as pa
@@ -95,19 +119,11 @@ def _named(batches):
     for batch in batches:
         pairs = []
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for tag, attrs in TAG.findall(page):
-                has = {name.lower(): unescape(a or b or c).strip() for name, a, b, c in ATTRIBUTE.findall(attrs)}
-                target = ""
-                if tag.lower() == "link" and "canonical" in has.get("rel", "").lower().split():
-                    target = has.get("href", "")
-                elif tag.lower() == "meta" and has.get("http-equiv", "").lower() == "refresh":
-                    found = REFRESH.search(has.get("content", ""))
-                    target = found[1] if found else ""
-                if target:
-                    try:
-                        pairs.append((url, urljoin(url, target)))
-                    except ValueError:
-                        continue  # no url at all
+            for target in targets_of(page):
+                try:
+                    pairs.append((url, urljoin(url, target)))
+                except ValueError:
+                    continue  # no url at all
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], ["a", "b"])
 
 

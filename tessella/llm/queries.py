@@ -54,7 +54,7 @@ def op1_html_extraction(spark, sf_dir):
 
 
 def op2_simhash(spark, sf_dir):
-    found = simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = simhash.within_bits(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -1,12 +1,18 @@
 """SimHash near-duplicates by generalised pigeonhole.
 
-Documents become 64-bit fingerprints of their word shingles. Bits that go together
-are put into one part, so that the parts are near to independent of each other; a
+within_bits(): documents become 64-bit fingerprints of their word shingles. Bits that go
+together are put into one part, so that the parts are near to independent of each other; a
 dynamic programme gives each part its own threshold (-1: not probed), so that the
 thresholds meet the pigeonhole bound at the fewest estimated candidates. Every
 part is probed and every candidate verified on all bits. Only minima flow between
 stages: copies meet in one row per fingerprint, and where very many fingerprints
 share a part's value they are linked through their one-bit neighbours, never in pairs.
+
+near_duplicates(): a similarity of 0.8 is about ten of 64 bits, and thresholds for so many
+would make candidates of a hundredth of all pairs. The fingerprint is made wider
+instead: BLOCKS blocks of 64 bits, each the SimHash of the DRAWN shingles that come
+first in the block's own hash order. The bits of a block go together entirely, so blocks are
+the parts, each with threshold 0; candidates are verified on their whole sets of shingles.
 """
 
 from __future__ import annotations
@@ -14,36 +20,51 @@ from __future__ import annotations
 from math import comb
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, staged
+from .common import components, named, staged
 
 BITS = 64
+#: Bits within which op2's fingerprints link; links() is laid out for it.
+DISTANCE = 2
+#: Blocks of a wide fingerprint, and shingles drawn for each: a pair of similarity s agrees in none with a chance of (1 - s**DRAWN)**BLOCKS, 5e-8 at 0.8.
+BLOCKS, DRAWN = 32, 4
 #: Buckets of more fingerprints than this are linked through neighbours, not in pairs.
 PAIRED = 64
 
 
-def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
-    """A bit is set if it is in over half the XXH64 of the text's word shingles."""
+def shingle_hashes(text: bytes, width: int, seed: int):
+    """XXH64 of the text's word shingles, repeats included, in arrays of up to 100,000."""
     from itertools import repeat
 
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()  # of bytes: A-Z alone, and ASCII white space
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     if len(words) <= width:
-        return xxh64_intdigest(joined, seed)
+        yield np.array([xxh64_intdigest(joined, seed)], np.uint64)
+        return
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate([[0], ends[:-width]]).tolist()
     ends = (ends[width - 1 :] - 1).tolist()
-    n, counts = len(starts), np.zeros(BITS, np.int64)
-    for k in range(0, n, 100_000):
+    for k in range(0, len(starts), 100_000):
         pieces = map(joined.__getitem__, map(slice, starts[k : k + 100_000], ends[k : k + 100_000]))
-        h = np.fromiter(map(xxh64_intdigest, pieces, repeat(seed)), np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        yield np.fromiter(map(xxh64_intdigest, pieces, repeat(seed)), np.uint64)
+
+
+def bits_of(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(*h.shape, 8), axis=-1, bitorder="little")
+
+
+def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
+    """A bit is set if it is in over half the XXH64 of the text's word shingles."""
+    n, counts = 0, np.zeros(BITS, np.int64)
+    for h in shingle_hashes(text, width, seed):
+        counts += bits_of(h).sum(0, dtype=np.int64)
+        n += len(h)
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
 
@@ -172,8 +193,8 @@ def _near_masks(bits: list[int], most: int) -> list[int]:
     return [_mask(c) for e in range(most + 1) for c in combinations(bits, e)]
 
 
-def links(fps: DataFrame, distance: int) -> DataFrame:
-    """(a, b) between fingerprints at most distance bits apart, enough for every component.
+def links(fps: DataFrame) -> DataFrame:
+    """(a, b) between fingerprints at most DISTANCE bits apart, enough for every component.
 
     fps: (fp), one row per fingerprint. In a bucket of up to PAIRED fingerprints
     every pair is verified; the members of a larger one are linked through all values
@@ -182,9 +203,7 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
     n = fps.count()
     if n < 2:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    if distance != 2:
-        raise ValueError("links() is laid out for a distance of 2 bits")
-    chosen = plan(fps, n, distance)
+    chosen = plan(fps, n, DISTANCE)
     part = F.explode(F.array(*[
         F.struct(F.lit(i).alias("part"), F.expr(f"fp & {_mask(bits)}L").alias("key")) for i, (bits, t) in enumerate(chosen)
     ])).alias("p")
@@ -200,7 +219,7 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
     probe = index.select("part", F.col("fp").alias("fp2"), F.col("key").alias("own"), flips.alias("flip"))
     probe = probe.select("part", "fp2", F.expr("own ^ flip").alias("key"))
     small = index.join(large, ["part", "key"], "left_anti")
-    pairs = small.join(probe, ["part", "key"]).where((F.col("fp") < F.col("fp2")) & (F.expr("bit_count(fp ^ fp2)") <= distance))
+    pairs = small.join(probe, ["part", "key"]).where((F.col("fp") < F.col("fp2")) & (F.expr("bit_count(fp ^ fp2)") <= DISTANCE))
     direct = pairs.select(F.col("fp2").alias("a"), F.col("fp").alias("b"))
     # Members of large buckets, and what probes into them from other buckets.
     crowd = index.join(large, ["part", "key"], "left_semi").select("fp")
@@ -213,31 +232,182 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
     return direct.unionAll(through)
 
 
-def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", width=3, seed=42, distance=2) -> DataFrame:
+def within_bits(docs: DataFrame, *, id_col="doc_id", text_col="text", width=3, seed=42) -> DataFrame:
     """One row per document: id, fp (signed long), component_id.
 
-    component_id is the smallest id reachable through fingerprints at most distance
+    component_id is the smallest id reachable through fingerprints at most DISTANCE
     bits apart, itself included. Null, empty and blank texts have fingerprint zero,
     linked like any other; repeated ids are ordinary rows; a null id is never the
     smallest (a component of null ids alone has none); an empty table gives an empty result. Other columns are not looked at.
     """
     prints = staged(fingerprints(docs, id_col=id_col, text_col=text_col, width=width, seed=seed), "fingerprints")
     fps = staged(prints.groupBy("fp").agg(F.min("id").alias("id")), "distinct")
-    found = components(links(fps.select("fp"), distance))
+    found = components(links(fps.select("fp")))
     # The smallest id of a component is a minimum over its fingerprints' smallest ids.
-    named = fps.join(found.withColumnRenamed("id", "of"), F.col("fp") == F.col("of"), "left")
-    named = staged(named.select("fp", "id", F.coalesce("component", "fp").alias("root")), "rooted")
-    low = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = staged(named.join(low, "root").select("fp", "component_id"), "components")
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    rooted = fps.join(found.withColumnRenamed("id", "of"), F.col("fp") == F.col("of"), "left")
+    rooted = staged(rooted.select("fp", "id", F.coalesce("component", "fp").alias("root")), "rooted")
+    low = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    rooted = staged(rooted.join(low, "root").select("fp", "component_id"), "components")
+    return prints.join(rooted, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+_ORDERS = np.random.default_rng(3).integers(1, 2**63, BLOCKS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * _MIX
+    return h ^ (h >> np.uint64(32))
+
+
+def shingle_set(text: bytes, width: int, seed: int) -> np.ndarray:
+    """The text's different shingles, as sorted hashes."""
+    parts = [np.unique(h) for h in shingle_hashes(text, width, seed)]
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+
+
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """BLOCKS blocks of 64 bits: each the SimHash of the DRAWN shingles first in the block's order (all, if fewer)."""
+    first = np.empty((BLOCKS, 0), np.uint64)
+    for k in range(0, len(shingles), 1 << 14):
+        first = np.concatenate([first, _mixed(shingles[k : k + (1 << 14)] * _ORDERS[:, None])], 1)
+        if first.shape[1] > DRAWN:
+            first = np.partition(first, DRAWN - 1, axis=1)[:, :DRAWN]
+    bits = 2 * bits_of(first).sum(1, dtype=np.int64) > first.shape[1]
+    blocks = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return _mixed(blocks + np.arange(BLOCKS, dtype=np.uint64) * _ORDERS)  # equal bits in other blocks are another key
+
+
+class _Sign:
+    """(id, mark, text) to (id, mark, of: a digest of the set of shingles, keys: its wide fingerprint)."""
+
+    def __init__(self, width: int, seed: int):
+        self.width, self.seed = width, seed
+
+    def __call__(self, batches):
+        import pyarrow as pa
+        from xxhash import xxh3_128_digest
+
+        for batch in batches:
+            sets = [shingle_set(t or b"", self.width, self.seed) for t in batch.column(2).to_pylist()]
+            of = pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+            keys = pa.array([wide_fingerprint(s).view(np.int64) if len(s) else np.empty(0, np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), of, keys], ["id", "mark", "of", "keys"])
+
+
+class _Sets:
+    """(id, text) to (id, n, shingles)."""
+
+    def __init__(self, width: int, seed: int):
+        self.width, self.seed = width, seed
+
+    def __call__(self, batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [shingle_set(t or b"", self.width, self.seed).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(sets, pa.list_(pa.int64()))], ["id", "n", "shingles"])
+
+
+def _tile(similarity: float):
+    """In two parts of a bucket: the smallest id that flows along all links between their members."""
+
+    def run(key, table):
+        import pyarrow as pa
+
+        i, j = key[1].as_py(), key[2].as_py()
+        ids, sub, n = (table.column(c).to_numpy() for c in ("id", "sub", "n"))
+        shingles = table.column("shingles").combine_chunks()
+        flat, sizes = shingles.flatten().to_numpy(), n.astype(np.int64)
+        _, word, count = np.unique(flat, return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(ids)), sizes)
+        rare = count[word] < 2
+        again = np.cumsum(count >= 2) - 1
+        row, word = row[~rare], again[word[~rare]]
+        order = np.argsort(word, kind="stable")
+        row, word = row[order], word[order]
+        a, b = np.flatnonzero(sub == i), np.flatnonzero(sub == j)
+        place = np.empty(len(ids), np.int64)
+        common = np.zeros((len(a), len(b)), np.float32)
+        ends = np.searchsorted(word, np.arange(0, word[-1] + 2048 if len(word) else 0, 2048))
+        for k, (lo, hi) in enumerate(zip(ends, [*ends[1:], len(word)])):
+            # Shingles that two or more hold, 2048 at a time: one product counts them for all pairs.
+            has = np.zeros((len(ids), 2048), np.float32)
+            has[row[lo:hi], word[lo:hi] - 2048 * k] = 1
+            common += has[a] @ has[b].T
+        near = common >= similarity * (n[a][:, None] + n[b][None, :] - common) - 1e-6
+        root = ids.copy()
+        while True:
+            top = np.iinfo(np.int64).max
+            place[:] = root
+            place[a] = np.minimum(place[a], np.where(near, root[b][None, :], top).min(1, initial=top))
+            place[b] = np.minimum(place[b], np.where(near, place[a][:, None], top).min(0, initial=top))
+            if (place == root).all():
+                break
+            root[:] = place
+        moved = root != ids
+        return pa.table({"a": pa.array(ids[moved]), "b": pa.array(root[moved])})
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", width=5, seed=42, similarity=0.8, part_rows=1024) -> DataFrame:
+    """One row per id that is not null: id, mark (xxhash64 of its text), component_id.
+
+    component_id is the smallest id reachable through documents whose sets of width-word
+    shingles (fewer words: the whole sequence) have a Jaccard similarity of at least similarity.
+    Documents of one set, those without words among them, are one. Rows that repeat an id are one
+    document, and its text is the one with the smallest mark. An empty table gives an empty
+    result; other columns are not looked at.
+
+    Documents that agree in a block of the wide fingerprint meet in a bucket. Each is verified
+    against the bucket's smallest id; a bucket that is not one component then is verified in
+    all its pairs, in tiles of part_rows members, of which only the components come out.
+    """
+    text = named(text_col).cast("string").cast("binary")
+    rows = docs.select(named(id_col).cast("long").alias("id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("mark"), text.alias("text")).where("id is not null")
+    signed = staged(rows.mapInArrow(_Sign(width, seed), "id long, mark long, of binary, keys array<long>"), "signed")
+    one = staged(signed.groupBy("id").agg(F.min(F.struct("mark", "of", "keys")).alias("s")).select("id", "s.*"), "documents")
+    reps = staged(one.groupBy("of").agg(F.min(F.struct("id", "mark", "keys")).alias("s")).select("of", "s.*"), "sets")
+    keys = reps.select("id", F.explode("keys").alias("key"))
+    buckets = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("key", "first")
+    members = staged(keys.join(buckets, "key"), "members")
+    asked = reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "mark")
+    texts = rows.join(asked, ["id", "mark"], "left_semi").dropDuplicates(["id"]).select("id", "text")
+    sets = staged(texts.mapInArrow(_Sets(width, seed), "id long, n int, shingles array<long>"), "shingles")
+    pairs = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    with_sets = pairs.join(sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("of_a")), "a")
+    with_sets = with_sets.join(sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("of_b")), "b")
+    fits = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    linked = staged(with_sets.where(fits).where(common >= similarity * (F.col("n_a") + F.col("n_b") - common) - 1e-6).select("a", "b"), "links")
+    found = components(linked)
+    # What is left: buckets of three or more that hold several components.
+    told = members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    split = told.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("m > 2 and low <> high")
+    split = split.select("key", F.ceil(F.col("m") / part_rows).cast("int").alias("parts"))
+    dealt = members.select("key", "id").join(split, "key").withColumn("sub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    tiles = dealt.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("sub", "t")).withColumn("j", F.greatest("sub", "t"))
+    tiles = tiles.join(sets, "id").select("key", "i", "j", "id", "sub", "n", "shingles")
+    more = tiles.groupBy("key", "i", "j").applyInArrow(_tile(similarity), "a long, b long")
+    found = staged(components(staged(linked.unionAll(more).distinct(), "links")), "components")
+    classes = reps.select("of", F.col("id").alias("rep")).join(found, F.col("rep") == F.col("id"), "left").select("of", F.coalesce("component", "rep").alias("component_id"))
+    return one.join(classes, "of").select(F.col("id").alias(id_col), "mark", "component_id")
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest id stays.
 
-    Of rows that repeat that id one stays; rows with a null id all stay, as no group can
-    name one of them. Columns are those of docs.
+    Of rows that repeat that id one stays, the same one on every run (see near_duplicates; of equal
+    texts the row whose columns have the smallest hash); rows with a null id all stay, as no
+    group can name one of them. Columns are those of docs, whatever they are called.
     """
-    id_col = options.get("id_col", "doc_id")
-    keep = near_duplicates(docs, **options).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(keep, id_col, "left_semi").dropDuplicates([id_col]).unionAll(docs.where(F.col(id_col).isNull()))
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    keep = near_duplicates(docs, **options).where(named(id_col) == F.col("component_id")).select(named(id_col).alias("kept_id"), F.col("mark").alias("kept_mark"))
+    # By place, as columns of docs may be called anything.
+    rows = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    own_id, text = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col))
+    mark, hashed = F.coalesce(F.xxhash64(text.cast("string").cast("binary")), F.lit(0)), F.xxhash64(F.to_json(F.struct(*rows.columns)))
+    found = rows.join(keep, (own_id.cast("long") == F.col("kept_id")) & (mark == F.col("kept_mark")))
+    found = found.withColumn("place", F.row_number().over(Window.partitionBy("kept_id").orderBy(hashed))).where("place = 1")
+    return found.select(*rows.columns).unionAll(rows.where(own_id.isNull())).toDF(*docs.columns)

@@ -74,7 +74,7 @@ def cases():
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_rows": 40, "part_rows": 20}])
+@pytest.mark.parametrize("options", [{}, {"shard_rows": 16, "part_rows": 20}])
 def test_near_duplicates(spark, options):
     rows = cases()
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("id", F.lit("clash")).withColumn("cluster", F.lit(1))
@@ -94,10 +94,56 @@ def test_no_vectors(spark):
     assert neargraph.near_duplicates(empty).count() == 0
 
 
-def test_recall(spark):
-    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    result = neargraph.near_duplicates(vectors)
-    assert neargraph.audit(vectors, result) >= 0.95
+def planted(n_base=2600, dim=64, labels=2, seed=4):
+    """Vectors far apart, noisy copies of some in groups of two to hundreds, cosines from 0.9 to 1."""
+    rng, out = np.random.default_rng(seed), []
+    unit = lambda x: x / np.sqrt((x**2).sum(-1, keepdims=True))
+    for label in range(labels):
+        base = unit(rng.standard_normal((n_base, dim)))
+        rows = [base]
+        for k, size in enumerate([1] * 400 + [5] * 60 + [40] * 8 + [300]):
+            noise = rng.uniform(0.05, 0.42) / dim**0.5 if size < 300 else 0.2 / dim**0.5
+            rows.append(unit(base[k] + noise * rng.standard_normal((size, dim))))
+        out += [(v, label) for v in np.concatenate(rows)]
+    return [(k, [float(x) for x in out[i][0]], out[i][1]) for k, i in enumerate(rng.permutation(len(out)))]
+
+
+@pytest.mark.parametrize("shard_rows, overlap", [(64, 8), (24, 8), (64, 2)])
+def test_recall(spark, shard_rows, overlap):
+    rows = planted()
+    labels, v = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+    true = np.zeros((len(rows), len(rows)), bool)
+    for label in (0, 1):
+        own = np.flatnonzero(labels == label)
+        true[np.ix_(own, own)] = v[own] @ v[own].T >= 0.93
+    np.fill_diagonal(true, False)
+    vectors, report = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), {}
+    found = neargraph.near_duplicates(vectors, shard_rows=shard_rows, overlap=overlap, report=report).collect()
+    got = np.zeros(len(rows), np.int64)
+    for r in found:
+        got[r["vec_id"]] = r["n_links"]
+    want = true.sum(1)
+    assert (got <= want).all() and want.sum() > 100_000 and (want > 0).sum() > 2000
+    few = want < 100  # groups of every size count, not the largest alone
+    recall = got.sum() / want.sum(), got[few].sum() / want[few].sum()
+    assert min(recall) >= 0.9 and report["recall"] >= 0.9 and report["true_links"] > 0 and abs(report["recall"] - recall[0]) < 0.1
+
+
+def test_no_recall_without_links(spark):
+    vectors, report = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet"), {}
+    assert neargraph.near_duplicates(vectors, report=report).where("n_links > 0").count() == 0
+    assert report["recall"] is None and report["true_links"] == 0
+
+
+def test_many_clusters(spark):
+    """At least fifty shards a label, and none of more than part_rows rows but dense ones."""
+    rows = planted()
+    reps = spark.createDataFrame([(k, 1, v, label) for k, v, label in rows], "id long, copies long, v array<double>, cell long")
+    sizes = {r["cell"]: r["count"] for r in neargraph.clusters(reps, 32, 128, 0.07, 8).groupBy("cell").count().collect()}
+    assert len(sizes) >= 100 and np.median(list(sizes.values())) < 400
+    dense = [(k, 1, [1.0, k * 1e-4], 7) for k in range(3000)]
+    held = neargraph.clusters(spark.createDataFrame(dense, "id long, copies long, v array<double>, cell long"), 32, 128, 0.07, 8)
+    assert held.count() == 3000 and held.select("cell").distinct().count() == 1
 
 
 def test_pruning_keeps_ways():

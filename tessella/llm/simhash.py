@@ -408,6 +408,7 @@ def kept_documents(docs: DataFrame, **options) -> DataFrame:
     rows = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
     own_id, text = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col))
     mark, hashed = F.coalesce(F.xxhash64(text.cast("string").cast("binary")), F.lit(0)), F.xxhash64(F.to_json(F.struct(*rows.columns)))
-    found = rows.join(keep, (own_id.cast("long") == F.col("kept_id")) & (mark == F.col("kept_mark")))
+    # Joined by the id alone, so that the window needs no exchange of its own.
+    found = rows.join(keep, (own_id.cast("long") == F.col("kept_id")) & (mark.bitwiseXOR(F.col("kept_mark")) == 0))
     found = found.withColumn("place", F.row_number().over(Window.partitionBy("kept_id").orderBy(hashed))).where("place = 1")
     return found.select(*rows.columns).unionAll(rows.where(own_id.isNull())).toDF(*docs.columns)

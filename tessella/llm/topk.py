@@ -3,8 +3,8 @@
 Candidates are dealt into shards, queries into blocks; a task takes one shard and one
 block. It builds the shard's ball tree, bounds every node's inner product with every
 query, and visits a query's leaves in the order of their bounds until the bound falls
-under its kth best score. A first wave gives every query a kth score from one
-shard; it goes with the query into the second wave over all other shards.
+under its kth best score. Shards come in waves, one and then four times as many as before: what
+a query's kth score is after a wave goes with it into the next, over all its shards.
 """
 
 from __future__ import annotations
@@ -114,7 +114,7 @@ def _tile(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, is_query, *, k=5, id_col="vec_id", vector_col="embedding", shard_rows=16_384, block_rows=1024) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, *, k=5, id_col="vec_id", vector_col="embedding", shard_rows=8192, block_rows=8192) -> DataFrame:
     """The k best rows for each query: query_id, rank (from 1), vec_id, score.
 
     Components become floor(256 x); the score is the integer inner product, ties go to
@@ -134,25 +134,22 @@ def top_k(vectors: DataFrame, is_query, *, k=5, id_col="vec_id", vector_col="emb
     blocked = base.where(is_query).select(
         F.col("id").alias("query_id"), F.col("v").alias("q"), F.size("v").alias("dim"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block")
     )
-    tile = ["dim", "shard", "block"]
-
-    def wave(points: DataFrame, queries: DataFrame) -> DataFrame:
-        return points.groupBy(tile).cogroup(queries.groupBy(tile)).applyInPandas(_tile(k), schema)
-
-    home = F.pmod(F.col("block"), F.lit(shards))  # the shard where a block's queries begin
-    at_home = F.explode(F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.pmod(b, F.lit(shards)) == F.col("shard")))
-    first = wave(sharded.withColumn("block", at_home), blocked.withColumn("shard", home.cast("int")).withColumn("floor", F.lit(float("-inf"))))
-    if shards > 1:
-        first = staged(first, "first")
-        kth = first.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") == k)
-        bounded = blocked.join(kth, "query_id", "left").withColumn("floor", F.coalesce(F.col("least").cast("double"), F.lit(float("-inf"))))
-        # A long of more than 53 bits may round up as a double.
-        bounded = bounded.withColumn("floor", F.when(F.abs("floor") >= 2.0**53, F.col("floor") - F.abs("floor") * 1e-15).otherwise(F.col("floor")))
-        others = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-        second = wave(
-            sharded.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where(home != F.col("shard")),
-            bounded.withColumn("shard", others).where(home != F.col("shard")).select("query_id", "q", "block", "dim", "shard", "floor"),
-        )
-        first = first.unionAll(second)
+    tile, best = ["dim", "shard", "block"], base.sparkSession.createDataFrame([], schema)
+    distance = lambda block, shard: F.pmod(shard - block, F.lit(shards))  # noqa: E731  # a block of queries begins in the shard of its number
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    low, high = 0, 1
+    while low < shards:
+        kth = best.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") == k)
+        # A long of more than 53 bits may round up as a double.
+        floor = F.col("least").cast("double") - F.when(F.abs("least") >= 2**53, F.abs("least") * 1e-15).otherwise(0)
+        asked = blocked.join(kth, "query_id", "left").withColumn("floor", F.coalesce(floor, F.lit(float("-inf"))))
+        asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(low), F.lit(min(high, shards) - 1))))
+        asked = asked.select("query_id", "q", "block", "dim", F.pmod(F.col("block") + F.col("shard"), F.lit(shards)).cast("int").alias("shard"), "floor")
+        own = F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: (distance(b, F.col("shard")) >= low) & (distance(b, F.col("shard")) < high))  # noqa: B023
+        points = sharded.withColumn("block", F.explode(own))
+        found = points.groupBy(tile).cogroup(asked.groupBy(tile)).applyInPandas(_tile(k), schema)
+        ranked = best.unionAll(found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        low, high = high, 4 * high
+        if low >= shards:
+            return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        best = staged(ranked.select("query_id", "vec_id", "score"), "best")

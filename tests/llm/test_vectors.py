@@ -18,7 +18,7 @@ def brute_top(rows, wanted, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard_rows, block_rows", [(16384, 1024), (40, 3)])
+@pytest.mark.parametrize("shard_rows, block_rows", [(8192, 8192), (40, 3), (16, 100)])
 def test_top_k(spark, shard_rows, block_rows):
     rng = np.random.default_rng(3)
     rows = [(k, [float(x) for x in rng.standard_normal(8)]) for k in range(300)]

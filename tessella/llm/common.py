@@ -20,9 +20,19 @@ def named(column: str):
     return F.col("`" + column.replace("`", "``") + "`")
 
 
-def mapped(df: DataFrame, function, schema) -> DataFrame:
-    """mapInArrow by place: names of df's columns, which may hold dots, are not looked at."""
-    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(function, schema)
+class _InSlices:
+    """function over slices of the batches: what it holds at once does not follow Spark's batch size."""
+
+    def __init__(self, function, rows: int):
+        self.function, self.rows = function, rows
+
+    def __call__(self, batches):
+        return self.function(b.slice(k, self.rows) for b in batches for k in range(0, b.num_rows, self.rows))
+
+
+def mapped(df: DataFrame, function, schema, rows=1024) -> DataFrame:
+    """mapInArrow by place, up to rows at a time: names of df's columns, which may hold dots, are not looked at."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(_InSlices(function, rows), schema)
 
 
 def fresh(df: DataFrame, name: str) -> str:

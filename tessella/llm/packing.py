@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import mapped, staged
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, bin long, offset long, fill long"
 
@@ -72,7 +72,7 @@ class WordIds:
     the table are encoded from the same vocabulary's file of ranks, if its path is given.
     """
 
-    def __init__(self, path: str, ranks_path: str | None = None, most_words: int = 400_000):
+    def __init__(self, path: str, ranks_path: str | None = None, most_words: int = 150_000):
         import struct
 
         from tokenizers import Tokenizer
@@ -200,7 +200,7 @@ def pack(docs: DataFrame, *, tokenizer_path: str, ranks_path: str | None = None,
     packs. Other columns are not looked at.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    placed = staged(rows.mapInArrow(_Pack(tokenizer_path, ranks_path, size, end_id, most_open), SCHEMA), "placed")
+    placed = staged(mapped(rows, _Pack(tokenizer_path, ranks_path, size, end_id, most_open), SCHEMA), "placed")
     unfilled = placed.where("fill is not null").select("task", "bin", "fill")
     parts = max(1, -(-unfilled.count() // refill_rows))
     # Few rows in place of every text: the longest first, so that short ones fill the gaps.

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, named, staged
+from .common import components, mapped, named, staged
 
 BITS = 64
 #: Bits within which op2's fingerprints link; links() is laid out for it.
@@ -83,7 +83,7 @@ class _Fingerprints:
 def fingerprints(docs: DataFrame, *, id_col="doc_id", text_col="text", width=3, seed=42) -> DataFrame:
     """(id, fp) for every row; the fingerprint as a signed long. A null text has no words: zero."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(_Fingerprints(width, seed), "id long, fp long")
+    return mapped(rows, _Fingerprints(width, seed), "id long, fp long")
 
 
 class _BitCounts:
@@ -366,7 +366,7 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", width=
     """
     text = named(text_col).cast("string").cast("binary")
     rows = docs.select(named(id_col).cast("long").alias("id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("mark"), text.alias("text")).where("id is not null")
-    signed = staged(rows.mapInArrow(_Sign(width, seed), "id long, mark long, of binary, keys array<long>"), "signed")
+    signed = staged(mapped(rows, _Sign(width, seed), "id long, mark long, of binary, keys array<long>"), "signed")
     one = staged(signed.groupBy("id").agg(F.min(F.struct("mark", "of", "keys")).alias("s")).select("id", "s.*"), "documents")
     reps = staged(one.groupBy("of").agg(F.min(F.struct("id", "mark", "keys")).alias("s")).select("of", "s.*"), "sets")
     keys = reps.select("id", F.explode("keys").alias("key"))
@@ -374,7 +374,7 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", width=
     members = staged(keys.join(buckets, "key"), "members")
     asked = reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "mark")
     texts = rows.join(asked, ["id", "mark"], "left_semi").dropDuplicates(["id"]).select("id", "text")
-    sets = staged(texts.mapInArrow(_Sets(width, seed), "id long, n int, shingles array<long>"), "shingles")
+    sets = staged(mapped(texts, _Sets(width, seed), "id long, n int, shingles array<long>"), "shingles")
     pairs = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     with_sets = pairs.join(sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("of_a")), "a")
     with_sets = with_sets.join(sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("of_b")), "b")

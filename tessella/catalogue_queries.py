@@ -7,6 +7,7 @@ compares plain names, every query names its columns in order.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from . import catalogue, sample
 from .functions import bulk
 from .operators import channels, contents, paths
 from .operators.changes import children, deleted, inserted, related, rows_of, updated, vector_written
+from .sources.tables import Tables
+from .store import Store
 
 #: name -> (query, output columns, SQL)
 ASKED: dict[str, tuple[dict, list[str], str]] = {}
@@ -252,12 +255,12 @@ def value_matrix_block(spark, sf_dir):
     return channels.block(vectors, 5, 10, "label", "vec_id", "embedding")
 
 
-@built("SELECT label, CAST(k AS INTEGER) AS row, a.embedding[k + 1] AS first, b.embedding[k + 1] AS second FROM (SELECT label, embedding FROM embeddings JOIN (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY 1) USING (label, vec_id)) a JOIN (SELECT label, embedding FROM embeddings JOIN (SELECT label, max(vec_id) AS vec_id FROM embeddings GROUP BY 1) USING (label, vec_id)) b USING (label), range(64) t(k)")
+@built("SELECT CAST(vec_id // 4 AS BIGINT) AS submatrix, CAST(k AS INTEGER) AS row, " + ", ".join(f"max(CASE WHEN vec_id % 4 = {n} THEN embedding[k + 1] END) AS {c}" for n, c in enumerate("abcd")) + " FROM embeddings, range(64) t(k) GROUP BY 1, 2")
 def value_matrix_table(spark, sf_dir):
+    """Every vector is a channel: four that follow each other are beside each other."""
     vectors = catalogue.store(spark, sf_dir).entity("Vector")
-    ends = vectors.groupBy("label").agg(F.min("vec_id").alias("a"), F.max("vec_id").alias("b")).withColumnRenamed("label", "l")
-    named = vectors.join(ends, F.col("label") == F.col("l")).withColumn("name", F.when(F.col("vec_id") == F.col("a"), "first").when(F.col("vec_id") == F.col("b"), "second"))
-    return channels.table(named, ["first", "second"], group="label", values="embedding")
+    named = vectors.withColumn("submatrix", F.floor(F.col("vec_id") / 4)).withColumn("name", F.element_at(F.array(*map(F.lit, "abcd")), (F.col("vec_id") % 4 + 1).cast("int")))
+    return channels.table(named, list("abcd"), group="submatrix", values="embedding")
 
 
 @built("SELECT label, max(len(embedding)) AS n_rows, count(*) AS n_columns FROM embeddings GROUP BY 1")
@@ -265,28 +268,34 @@ def value_matrix_counts(spark, sf_dir):
     return channels.counts(catalogue.store(spark, sf_dir).entity("Vector"), "label", "embedding")
 
 
-@built(f"SELECT vec_id AS id, {sql_text('list_transform(embedding[1:8], lambda v, i: CASE WHEN i IN (3, 6) THEN NULL ELSE v END)')} AS values FROM embeddings")
+@built(f"SELECT vec_id AS id, {sql_text('list_transform(embedding, lambda v, i: CASE WHEN i % 3 = 0 AND i <= 60 THEN NULL ELSE v END)')} AS values FROM embeddings")
 def flag_masking(spark, sf_dir):
     vectors = catalogue.store(spark, sf_dir).entity("Vector")
-    # The last two values lie beyond the flags and are valid.
-    flags = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.when(i % 3 == 0, 6).otherwise(15).cast("smallint"))
-    return as_text(vectors.select(F.col("vec_id").alias("id"), bulk.masked(F.slice("embedding", 1, 8), flags).alias("values")))
+    # The last four values lie beyond the flags and are valid.
+    flags = F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.when(i % 3 == 0, 6).otherwise(15).cast("smallint"))
+    return as_text(vectors.select(F.col("vec_id").alias("id"), bulk.masked(F.col("embedding"), flags).alias("values")))
 
 
-@built(f"SELECT vec_id AS id, {sql_text('list_transform(range(5), lambda i: vec_id + i * 0.5::DOUBLE)')} AS implicit, {sql_text('list_transform(embedding[1:3], lambda v: 2.0::DOUBLE + 4.0::DOUBLE * v::DOUBLE)')} AS raw FROM embeddings")
+@built(f"SELECT vec_id AS id, {sql_text('list_transform(range(len(embedding)), lambda i: vec_id + i * 0.5::DOUBLE)')} AS implicit, {sql_text('list_transform(embedding, lambda v: 2.0::DOUBLE + 4.0::DOUBLE * v::DOUBLE)')} AS raw FROM embeddings")
 def calculated_channels(spark, sf_dir):
     vectors = catalogue.store(spark, sf_dir).entity("Vector")
-    implicit = bulk.linear(F.array(F.col("vec_id").cast("double"), F.lit(0.5)), F.lit(5))
-    raw = bulk.scaled(F.slice("embedding", 1, 3).cast("array<double>"), F.array(F.lit(2.0), F.lit(4.0)))
+    implicit = bulk.linear(F.array(F.col("vec_id").cast("double"), F.lit(0.5)), F.size("embedding"))
+    raw = bulk.scaled(F.col("embedding").cast("array<double>"), F.array(F.lit(2.0), F.lit(4.0)))
     return as_text(vectors.select(F.col("vec_id").alias("id"), implicit.alias("implicit"), raw.alias("raw")))
 
 
-@built("SELECT item_id AS id, CAST(octet_length(encode(text)) AS INTEGER) AS length, hex(substr(text, 11, 20)) AS data FROM benchmark WHERE octet_length(encode(text)) = length(text)")
+@built("SELECT item_id AS id, CAST(octet_length(encode(text)) AS INTEGER) AS length, substr(hex(encode(text)), 1, 14) AS data FROM benchmark")
 def binary_chunk(spark, sf_dir):
     store = catalogue.store(spark, sf_dir)
-    plain = store.tables("benchmark").where(F.octet_length("text") == F.length("text"))
-    found = contents.chunk(store.model, store.tables.with_tables({"benchmark": plain}), "BenchmarkItem", "text", 10, 20)
-    return found.withColumn("data", F.hex("data"))
+    return contents.chunk(store.model, store.tables, "BenchmarkItem", "text", 0, 7).withColumn("data", F.hex("data"))
+
+
+@built("SELECT doc_id AS id, CAST(octet_length(encode(text)) AS INTEGER) AS length, sha256(text) AS digest FROM documents")
+def binary_download(spark, sf_dir):
+    """The whole content of every instance, told by its digest."""
+    store = catalogue.store(spark, sf_dir)
+    found = contents.chunk(store.model, store.tables, "Document", "text", 0, 2**31 - 1)
+    return found.select("id", "length", F.sha2("data", 256).alias("digest"))
 
 
 @built("SELECT item_id AS id, CAST(octet_length(encode(text)) AS INTEGER) AS length, substr(hex(encode(text)), 21, 40) AS data FROM benchmark")
@@ -342,6 +351,66 @@ def write_vector_update(spark, sf_dir):
     return as_text(rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("values")))
 
 
+def _vector_mode(mode: str, values: list, start: int):
+    def run(spark, sf_dir):
+        store = catalogue.store(spark, sf_dir)
+        rows = vector_written(store.model, store.model.entity("Vector"), store.tables("embeddings"), 4, "values", values, start, mode)
+        return as_text(rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("values")))
+
+    return run
+
+
+for name, mode, values, start, written in (
+    ("write_vector_append", "APPEND", [9.5, 8.5], 0, "embedding::DOUBLE[] || [9.5, 8.5]::DOUBLE[]"),
+    ("write_vector_insert", "INSERT", [9.5, 8.5], 2, "embedding[1:2]::DOUBLE[] || [9.5, 8.5]::DOUBLE[] || embedding[3:64]::DOUBLE[]"),
+    ("write_vector_remove", "REMOVE", [0.0, 0.0], 2, "embedding[1:2]::DOUBLE[] || embedding[5:64]::DOUBLE[]"),
+):
+    BUILT[name] = (_vector_mode(mode, values, start), f"SELECT vec_id AS id, {sql_text(f'CASE WHEN vec_id = 4 THEN {written} ELSE embedding::DOUBLE[] END')} AS values FROM embeddings")
+
+
+def _submatrices(spark, sf_dir):
+    """Line items of each kind of flag as submatrices: link columns, and a channel of their own."""
+    items = catalogue.store(spark, sf_dir).entity("LineItem")
+    return [items.where(F.col("returnflag") == flag).select("order", "linenumber", F.col("quantity").alias(name)) for flag, name in (("A", "a"), ("N", "n"), ("R", "r"))]
+
+
+LINKED = [f"(SELECT l_orderkey AS o, l_linenumber AS k, l_quantity AS {c.lower()} FROM lineitem WHERE l_returnflag = '{c}')" for c in "ANR"]
+
+
+@built(f"SELECT x.o, x.k AS k1, x.a, y.k AS k2, y.n FROM {LINKED[0]} x JOIN {LINKED[1]} y ON x.o = y.o")
+def submatrix_join(spark, sf_dir):
+    a, n, _ = _submatrices(spark, sf_dir)
+    return channels.joined([a.withColumnRenamed("linenumber", "k1"), n.withColumnRenamed("linenumber", "k2")], ["order"]).select(F.col("order").alias("o"), "k1", "a", "k2", "n")
+
+
+@built(" UNION ALL ".join(f"SELECT o, k, {', '.join(c if c == own else 'CAST(NULL AS DOUBLE) AS ' + c for c in 'anr')} FROM {sql}" for own, sql in zip("anr", LINKED)))
+def submatrix_merge(spark, sf_dir):
+    merged = channels.merged(_submatrices(spark, sf_dir))
+    return merged.select(F.col("order").alias("o"), F.col("linenumber").alias("k"), "a", "n", "r")
+
+
+@built(BUILT["submatrix_merge"][1])
+def submatrix_sort(spark, sf_dir):
+    ordered = channels.sorted_together(_submatrices(spark, sf_dir), ["order", "linenumber"])
+    return ordered.select(F.col("order").alias("o"), F.col("linenumber").alias("k"), "a", "n", "r")
+
+
+@built("SELECT r_regionkey AS id, r_name AS name FROM region")
+def typed_json(spark, sf_dir):
+    """A result in the typed form, and its columns put back into rows."""
+    made = catalogue.store(spark, sf_dir).matrices({"Region": {}}, accept="application/x-protobuf-json")
+    columns = [next(v for k, v in c.items() if k.startswith("dt"))["values"] for m in made["matrices"] for c in m["columns"]]
+    return spark.createDataFrame(list(zip(*columns)), "id int, name string")
+
+
+@built("SELECT c_custkey AS id, c_name AS name FROM customer")
+def matrix_pages(spark, sf_dir):
+    """A large result, encoded page by page."""
+    pages = catalogue.store(spark, sf_dir).matrix_pages({"Customer": {}, "$attributes": {"id": 1, "name": 1}}, ["id"], 2000)
+    rows = [r for page in pages for m in page["matrices"] for r in zip(*[next(v for k, v in c["values"].items() if k != "dataType") for c in m["columns"]])]
+    return spark.createDataFrame(rows, "id long, name string")
+
+
 @built("SELECT n_nationkey AS id, n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
 def matrix_round_trip(spark, sf_dir):
     """A result encoded by entity, and its columns put back into rows."""
@@ -351,68 +420,108 @@ def matrix_round_trip(spark, sf_dir):
     return spark.createDataFrame(list(zip(*columns)), "id int, name string, region string")
 
 
-@built("SELECT 'Nation' AS entity, n AS name FROM (VALUES ('nationkey'), ('name')) t(n)")
-def model_listing(spark, sf_dir):
-    entity = next(e for e in catalogue.model().to_dict()["entities"] if e["name"] == "Nation")
-    return spark.createDataFrame([("Nation", a["name"]) for a in entity["attributes"]], "entity string, name string")
-
+LISTED = {"nation": "n_nationkey n_name", "region": "r_regionkey r_name", "supplier": "s_suppkey s_name"}
 
-# What the test tables have no data for is asked of the sample store.
 
-
-@built("SELECT * FROM (VALUES ('a', 'DT_LONG', '42'), ('b', 'DT_STRING', 'text'), ('c', 'DT_DOUBLE', '1.5'), ('d', 'DT_DATE', '2020-01-02 00:00:00'), ('e', 'DT_LONG', NULL)) t(name, datatype, value)")
+@built(" UNION ALL ".join(f"SELECT '{t}' AS \"table\", column_name AS \"column\" FROM (DESCRIBE SELECT * FROM {t}) WHERE column_name IN {tuple(c.split())}" for t, c in LISTED.items()))
+def model_listing(spark, sf_dir):
+    """The columns that the listed model takes from three tables, as far as the tables have them."""
+    store, rows = catalogue.store(spark, sf_dir), []
+    for e in store.model.to_dict()["entities"]:
+        if e["name"] in ("Nation", "Region", "Supplier"):
+            own = store.model.entity(e["name"])
+            rows += [(own.table, own.attribute(a["name"]).column) for a in e["attributes"] if own.attribute(a["name"]).base in ("id", "name") and own.attribute(a["name"]).column in store.tables(own.table).columns]
+    return spark.createDataFrame(rows, "table string, column string")
+
+
+# What the test tables hold in another shape: views of them as channels, parameters, steps and contacts, with the model of the sample store.
+
+
+def measured(spark: SparkSession, sf_dir: str) -> Store:
+    """Vectors as channels whose rows say their type and representation, events as parameters, turns as steps below each other."""
+    source, given = catalogue.store(spark, sf_dir).tables, {}
+    v, kinds = F.col("embedding"), sample.SEQUENCES
+    whole = F.transform(v, lambda x: F.floor(x * 1000))
+    kind = F.element_at(F.array(*[F.lit(kinds[k]) for k in ("explicit", "implicit_constant", "implicit_linear", "raw_linear")]), (F.col("vec_id") % 4 + 1).cast("int"))
+    given["channels"] = source("embeddings").select(
+        F.col("vec_id").alias("id"), F.lit("v").alias("name"), F.when(F.col("vec_id") % 2 == 0, bulk.tagged("DT_FLOAT", v)).otherwise(bulk.tagged("DT_LONG", whole)).alias("values"),
+        v.cast("array<double>").alias("doubles"), F.array(F.lit(2.0), F.lit(4.0)).alias("parameters"), kind.cast("int").alias("kind"), F.size(v).alias("rows"),
+    )
+    typed = F.element_at(F.array(*[F.lit(sample.DATATYPES[t]) for t in ("DT_LONG", "DT_STRING", "DT_DOUBLE")]), (F.col("event_id") % 3 + 1).cast("int"))
+    text = F.when(F.col("event_id") % 3 == 0, F.col("user_id").cast("string")).when(F.col("event_id") % 3 == 1, F.col("event_type")).otherwise(F.concat(F.col("user_id").cast("string"), F.lit(".5")))
+    given["parameters"] = source("events").select(F.col("event_id").alias("id"), F.col("event_type").alias("name"), typed.cast("int").alias("type"), text.alias("value"))
+    number = F.col("conv_id") * 1000 + F.col("turn")
+    given["steps"] = source("conversations").select(
+        number.alias("id"), number.cast("string").alias("name"), F.lit(None).cast("string").alias("version"), F.when(F.col("turn") == 0, F.col("conv_id")).alias("bed"), F.when(F.col("turn") > 0, number - 1).alias("parent"),
+    )
+    given["tests"] = source("conversations").select(F.col("conv_id").alias("id"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("name")).distinct()
+    pair = F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / 2).cast("int") - 1), lambda k: F.struct(F.get(v, 2 * k).cast("double").alias("r"), F.get(v, 2 * k + 1).cast("double").alias("i")))
+    given["contacts"] = source("embeddings").select(F.col("vec_id").alias("id"), pair.alias("signal"))
+    given["contact_beds"] = source("lineitem").select(F.col("l_suppkey").alias("contact"), F.col("l_partkey").alias("bed"))
+    model = sample.model()
+    step = model.entities["Step"]
+    step.relations.update({n: replace(r, kind="FATHER_CHILD") for n, r in step.relations.items() if n in ("Parent", "Parts")})
+    return Store(spark, model, Tables(spark, given=given))
+
+
+@built("SELECT event_id AS id, ['DT_LONG', 'DT_STRING', 'DT_DOUBLE'][event_id % 3 + 1] AS datatype, CASE event_id % 3 WHEN 0 THEN CAST(user_id AS VARCHAR) WHEN 1 THEN event_type ELSE user_id || '.5' END AS value FROM events")
 def attribute_as_own_type(spark, sf_dir):
-    rows = sample.store(spark).query({"Parameter": {}, "$attributes": {"name": 1, "pvalue": {"$options": "u"}}})
+    rows = measured(spark, sf_dir).query({"Parameter": {}, "$attributes": {"id": 1, "pvalue": {"$options": "u"}}})
     v = F.col("pvalue")
-    first = F.coalesce(*[F.get(v[arm], F.lit(0)).cast("string") for arm in ("lng", "str", "dbl", "ts")])
-    return rows.select("name", v["datatype"].alias("datatype"), first.alias("value"))
+    first = F.coalesce(*[F.get(v[arm], F.lit(0)).cast("string") for arm in ("lng", "str", "dbl")])
+    return rows.select(F.col("id"), v["datatype"].alias("datatype"), first.alias("value"))
 
 
-@built("SELECT * FROM (VALUES (2, '5000000,6000000,7000000,8000000'), (3, '12000000,14000000'), (4, '1000000,1500000,2000000,2500000')) t(id, values)")
+OF_KIND = "CASE vec_id % 4 WHEN 0 THEN embedding::DOUBLE[] WHEN 1 THEN list_transform(embedding, lambda x: 2.0::DOUBLE) WHEN 2 THEN list_transform(range(len(embedding)), lambda k: 2.0::DOUBLE + k * 4.0::DOUBLE) ELSE list_transform(embedding, lambda x: 2.0::DOUBLE + 4.0::DOUBLE * x::DOUBLE) END"
+
+
+@built(f"SELECT vec_id AS id, {sql_text(OF_KIND)} AS values FROM embeddings")
 def calculated_by_representation(spark, sf_dir):
-    rows = sample.store(spark).query({"Channel": {"id": {"$in": [2, 3, 4]}}, "$attributes": {"id": 1, "Doubles": {"$calculated": 1}}})
-    return as_text(rows.toDF("id", "values").withColumn("id", F.col("id").cast("int")))
+    rows = measured(spark, sf_dir).query({"Channel": {}, "$attributes": {"id": 1, "Doubles": {"$calculated": 1}}})
+    return as_text(rows.toDF("id", "values"))
+
+
+TURN = "(SELECT conv_id * 1000 + turn AS id, CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 END AS parent FROM conversations)"
 
 
-@built("SELECT * FROM (VALUES ('s11', 's10', NULL), ('s12', 's11', 's10'), ('s13', 's12', 's11')) t(a, b, c)")
+@built(f"SELECT CAST(x.id AS VARCHAR) AS a, CAST(y.id AS VARCHAR) AS b, CAST(z.id AS VARCHAR) AS c FROM {TURN} x JOIN {TURN} y ON x.parent = y.id LEFT JOIN {TURN} z ON y.parent = z.id")
 def recursive_relation(spark, sf_dir):
     query = {"Step": {}, "$attributes": {"Name": 1, "Parent.Name": 1, "Parent.Parent:OUTER.Name": 1}}
-    return sample.store(spark).query(query).toDF("a", "b", "c")
+    return measured(spark, sf_dir).query(query).toDF("a", "b", "c")
 
 
-@built("SELECT * FROM (VALUES (1, 'DT_FLOAT', '-10000000000,-10000000000'), (2, 'DT_LONG', '2000000,3000000'), (3, 'DT_STRING', NULL), (4, 'DT_DATE', NULL)) t(id, datatype, numbers)")
+@built(f"SELECT vec_id AS id, CASE WHEN vec_id % 2 = 0 THEN 'DT_FLOAT' ELSE 'DT_LONG' END AS datatype, {sql_text('CASE WHEN vec_id % 2 = 0 THEN embedding[2:3]::DOUBLE[] ELSE list_transform(embedding[2:3], lambda x: floor((x * 1000::FLOAT)::DOUBLE)) END')} AS numbers FROM embeddings")
 def values_of_own_type(spark, sf_dir):
-    rows = sample.store(spark).query({"Channel": {}, "$attributes": {"id": 1, "values": 1}, "$options": {"$seqlimit": 2, "$seqskip": 1}})
+    rows = measured(spark, sf_dir).query({"Channel": {}, "$attributes": {"id": 1, "values": 1}, "$options": {"$seqlimit": 2, "$seqskip": 1}})
     v = F.col("values")
-    return as_text(rows.select(F.col("id").cast("int").alias("id"), v["datatype"].alias("datatype"), F.coalesce(v["dbl"], v["lng"].cast("array<double>")).alias("numbers")))
+    return as_text(rows.select(F.col("id"), v["datatype"].alias("datatype"), F.coalesce(v["dbl"], v["lng"].cast("array<double>")).alias("numbers")))
 
 
-@built("SELECT * FROM (VALUES (1, 2), (1, 4), (2, 2)) t(contact, bed)")
+@built("SELECT l_suppkey AS contact, l_partkey AS bed FROM lineitem WHERE NOT (l_suppkey = 2 AND l_partkey IN (2, 4)) UNION ALL SELECT 2, 2")
 def relate_many_to_many(spark, sf_dir):
-    store = sample.store(spark)
+    store = measured(spark, sf_dir)
     e = store.model.entity("Contact")
     _, added = related(store.model, store.tables, e, "Beds", 2, [2], "INSERT")
     _, rest = related(store.model, store.tables.with_tables({"contact_beds": added}), e, "Beds", 2, [4], "REMOVE")
-    return rest.select(F.col("contact").cast("int").alias("contact"), F.col("bed").cast("int").alias("bed"))
+    return rest.select("contact", "bed")
 
 
-@built("SELECT * FROM (VALUES (10), (11)) t(id)")
+@built("SELECT conv_id * 1000 + turn AS id FROM conversations")
 def recursive_delete(spark, sf_dir):
-    store = sample.store(spark)
-    below = children(store.model, store.tables, store.model.entity("TestBed"), spark.createDataFrame([(2,)], "id long"))
-    return below["Step"].select(F.col("id").cast("int").alias("id"))
+    """What the removal of all tests takes along: the first turn of each, and all turns below it."""
+    store = measured(spark, sf_dir)
+    return children(store.model, store.tables, store.model.entity("TestBed"), store.tables("tests").select("id"))["Step"].select("id").distinct()
 
 
-@built("SELECT * FROM (VALUES (20, 1500.0::DOUBLE)) t(id, x)")
+@built("SELECT p_partkey AS id, p_retailprice AS price FROM part WHERE p_retailprice >= 9.5 * 100")
 def unit_of_operand(spark, sf_dir):
-    rows = sample.store(spark).query({"Run": {"scale": {"$gte": 1.5, "$unit": 2}}, "$attributes": {"id": 1, "scale": 1}})
-    return rows.select(F.col("id").cast("int").alias("id"), F.col("scale").alias("x"))
+    return catalogue.store(spark, sf_dir).query({"Part": {"retailprice": {"$gte": 9.5, "$unit": 2}}, "$attributes": {"id": 1, "retailprice": 1}}).toDF("id", "price")
 
 
-@built("SELECT * FROM (VALUES (1, '1000000,2000000,3000000,4000000')) t(id, signal)")
+@built(f"SELECT vec_id AS id, {sql_text('embedding::DOUBLE[]')} AS signal FROM embeddings")
 def complex_numbers_flat(spark, sf_dir):
-    rows = sample.store(spark).query({"Contact": 1, "$attributes": {"id": 1, "Signal": 1}})
-    return as_text(rows.select(F.col("id").cast("int").alias("id"), bulk.flattened(F.col("Signal"), ("r", "i")).alias("signal")))
+    rows = measured(spark, sf_dir).query({"Contact": {}, "$attributes": {"id": 1, "Signal": 1}})
+    return as_text(rows.select("id", bulk.flattened(F.col("Signal"), ("r", "i")).alias("signal")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,15 +9,17 @@ of it and no path that is read is written over.
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import types
 from ..errors import ConstraintError, QueryError, TransactionActive, TransactionNotActive
 from ..functions import bulk
-from ..model import Entity, Model
+from ..model import Entity, Model, Relation
 from ..sources.tables import Tables
 
 
@@ -57,17 +59,21 @@ def _like(table: DataFrame, rows: DataFrame) -> DataFrame:
 def check(model: Model, entity: Entity, table: DataFrame) -> None:
     """Raises where an obligatory attribute is null or a unique one repeats.
 
-    Of each rule one broken row reaches the driver at most.
+    One aggregate looks for nulls in all obligatory attributes, one grouped pass for each unique
+    one at its repeats; of these a row reaches the driver at most.
     """
     there = set(table.columns)
     for a in entity.attributes.values():
-        if a.column not in there:
-            if a.obligatory:
-                raise ConstraintError(f"{entity.name}.{a.name} is obligatory")
-            continue
-        if a.obligatory and table.where(F.col(f"`{a.column}`").isNull()).limit(1).count():
+        if a.obligatory and a.column not in there:
             raise ConstraintError(f"{entity.name}.{a.name} is obligatory")
-        if a.unique and table.where(F.col(f"`{a.column}`").isNotNull()).groupBy(f"`{a.column}`").count().where("count > 1").limit(1).count():
+    obligatory = [a for a in entity.attributes.values() if a.obligatory]
+    if obligatory:
+        nulls = table.agg(*[F.count_if(F.col(f"`{a.column}`").isNull()) for a in obligatory]).first()
+        for a, n in zip(obligatory, nulls):
+            if n:
+                raise ConstraintError(f"{entity.name}.{a.name} is obligatory")
+    for a in entity.attributes.values():
+        if a.unique and a.column in there and not table.where(F.col(f"`{a.column}`").isNotNull()).groupBy(f"`{a.column}`").count().where("count > 1").isEmpty():
             raise ConstraintError(f"{entity.name}.{a.name} is unique")
 
 
@@ -77,9 +83,14 @@ def inserted(model: Model, entity: Entity, table: DataFrame, rows: DataFrame) ->
 
 
 def updated(model: Model, entity: Entity, table: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
-    """table with the given columns of the rows of equal key replaced; other rows and columns stay."""
+    """table with the given columns of the rows of equal key replaced; other rows and columns stay.
+
+    A key that rows name twice is an error: which of the two holds?
+    """
     column = model.attribute(entity, key).column
     rows = _like(table, rows)
+    if not rows.groupBy(f"`{column}`").count().where("count > 1").isEmpty():
+        raise QueryError(f"a change names {entity.name}.{key} twice")
     changed = [c for c in rows.columns if c != column]
     new = rows.select(F.col(f"`{column}`").alias("__key"), F.lit(True).alias("__hit"), *[F.col(f"`{c}`").alias(f"__new_{k}") for k, c in enumerate(changed)])
     joined = table.join(new, F.col(f"`{column}`") == F.col("__key"), "left")
@@ -94,16 +105,45 @@ def deleted(model: Model, entity: Entity, table: DataFrame, ids: DataFrame) -> D
     return table.join(ids.toDF("__key"), F.col(f"`{entity.id.column}`") == F.col("__key"), "left_anti")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """A small df's checkpoint in the folder that the cluster names; a local session without one gets a folder of its own."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise QueryError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="tessella-"))
+    return df.checkpoint()
+
+
+def below_itself(model: Model, tables: Tables, entity: Entity, relation: Relation, ids: DataFrame) -> DataFrame:
+    """ids and those of all instances below them by a relation of an entity to itself, level by level."""
+    key = model.inverse(entity, relation).column
+    pairs = tables(entity.table).select(F.col(f"`{entity.id.column}`").alias("id"), F.col(f"`{key}`").alias("__up"))
+    found = last = cut(ids.toDF("id").distinct())
+    while not last.isEmpty():
+        last = cut(pairs.join(last.withColumnRenamed("id", "__of"), F.col("__up") == F.col("__of"), "left_semi").select("id").distinct().join(found, "id", "left_anti"))
+        found = cut(found.union(last))
+    return found
+
+
 def children(model: Model, tables: Tables, entity: Entity, ids: DataFrame) -> dict[str, DataFrame]:
-    """For each entity below: the ids of the instances that a removal of ids takes along, by name."""
+    """For each entity below: the ids of the instances that a removal of ids takes along, by name.
+
+    Children that are instances of the entity itself are followed level by level.
+    """
     out: dict[str, DataFrame] = {}
+    for r in entity.relations.values():
+        if r.kind == "FATHER_CHILD" and not r.column and not r.bridge and r.target == entity.name and entity.id is not None:
+            all_ids = below_itself(model, tables, entity, r, ids)
+            out[entity.name] = all_ids.join(ids.toDF("id"), "id", "left_anti")
+            ids = all_ids
     for r in entity.relations.values():
         other = model.entities[r.target]
         if r.kind == "FATHER_CHILD" and not r.column and not r.bridge and other.id is not None and other.name != entity.name:
             key = model.inverse(entity, r).column
             below = tables(other.table).join(ids.toDF("__up"), F.col(f"`{key}`") == F.col("__up"), "left_semi").select(F.col(f"`{other.id.column}`").alias("id"))
-            out[other.name] = out[other.name].union(below) if other.name in out else below
-            for name, more in children(model, tables, other, below).items():
+            for name, more in [(other.name, below), *children(model, tables, other, below).items()]:
                 out[name] = out[name].union(more) if name in out else more
     return out
 
@@ -171,33 +211,72 @@ class Snapshots:
     def _fs(self):
         return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _numbers(self) -> list[int]:
+        fs, folder = self._fs(), self._path("_pointers")
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return [int(n) for n in names if n.isdigit()]
+
+    def version(self) -> tuple[int, dict[str, str]]:
+        """The newest pointer that was written whole: its number (-1: none) and what it says."""
+        for n in sorted(self._numbers(), reverse=True):
+            rows = self.spark.read.text(f"{self.root}/_pointers/{n:012d}", wholetext=True).collect()
+            try:
+                return n, json.loads(rows[0][0])
+            except (IndexError, ValueError):
+                continue  # a commit that is being written, or broke off
+        return -1, {}
+
     def current(self) -> dict[str, str]:
-        # The newest pointer that was moved into place whole.
-        fs, versions = self._fs(), []
-        if fs.exists(self._path("_pointers")):
-            versions = sorted(s.getPath().getName() for s in fs.listStatus(self._path("_pointers")) if not s.getPath().getName().startswith("."))
-        if not versions:
-            return {}
-        rows = self.spark.read.text(f"{self.root}/_pointers/{versions[-1]}", wholetext=True).collect()
-        return json.loads(rows[0][0])
+        return self.version()[1]
 
     def tables(self, base: Tables) -> Tables:
         """base with the snapshots in place of its tables."""
         return base.with_tables({name: self.spark.read.parquet(f"{self.root}/{path}") for name, path in self.current().items()})
 
-    def commit(self, changed: dict[str, DataFrame]) -> None:
-        pointer, mark = self.current(), uuid.uuid4().hex
+    def write(self, changed: dict[str, DataFrame]) -> dict[str, str]:
+        """New snapshots of tables, which nothing points to yet: their paths by table."""
+        mark = uuid.uuid4().hex
         for name, df in changed.items():
             df.write.parquet(f"{self.root}/{name}/{mark}")
-            pointer[name] = f"{name}/{mark}"
+        return {name: f"{name}/{mark}" for name in changed}
+
+    def read(self, path: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{path}")
+
+    def drop(self, written: dict[str, str]) -> None:
+        for path in written.values():
+            self._fs().delete(self._path(path), True)
+
+    def point(self, written: dict[str, str], before: dict[str, str], version: int) -> None:
+        """Makes written current, if no other commit came since before was read as a version.
+
+        The pointer of the next number is created, and never overwritten: where two commits try, one fails.
+        That holds on HDFS, on local disks, and on object stores whose connector creates files
+        exclusively; on others one writer at a time is safe.
+        """
         fs = self._fs()
-        n = fs.listStatus(self._path("_pointers")).__len__() if fs.exists(self._path("_pointers")) else 0
         fs.mkdirs(self._path("_pointers"))
-        out = fs.create(self._path(f"_pointers/.{mark}"))
-        out.write(bytearray(json.dumps(pointer).encode()))
+        try:
+            out = fs.create(self._path(f"_pointers/{version + 1:012d}"), False)
+        except Py4JJavaError as e:
+            raise QueryError("another commit came first") from e
+        out.write(bytearray(json.dumps(before | written).encode()))
         out.close()
-        if not fs.rename(self._path(f"_pointers/.{mark}"), self._path(f"_pointers/{n:012d}")):
-            raise QueryError("another commit came first")
+
+    def commit(self, changed: dict[str, DataFrame], checked=None) -> None:
+        """Writes tables and makes them current. checked: is called with each as it was written, and may raise."""
+        version, before = self.version()
+        if version != max([-1, *self._numbers()]):
+            raise QueryError("another commit is on its way; if it broke off, remove its empty pointer")
+        written = self.write(changed)
+        try:
+            for name, path in written.items():
+                if checked is not None:
+                    checked(name, self.read(path))
+            self.point(written, before, version)
+        except Exception:
+            self.drop(written)
+            raise
 
 
 class Changes:
@@ -229,15 +308,17 @@ class Changes:
             raise TransactionNotActive("no transaction is active")
         self.open = None
 
-    def _put(self, changed: dict[str, DataFrame]) -> None:
+    def _put(self, changed: dict[str, DataFrame], checked=None) -> None:
         if self.open is None:
-            self.snapshots.commit(changed)
+            self.snapshots.commit(changed, checked)
         else:
+            for name, table in changed.items() if checked is not None else ():
+                checked(name, table)
             self.open |= changed
 
     def _checked(self, entity: Entity, table: DataFrame) -> None:
-        check(self.model, entity, table)
-        self._put({entity.table: table})
+        """Outside a transaction it is the written snapshot that is checked, so that the table is made once."""
+        self._put({entity.table: table}, lambda _, t: check(self.model, entity, t))
 
     def insert(self, name: str, columns: dict[str, list]) -> None:
         e = self.model.entity(name)

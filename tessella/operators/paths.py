@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import BadSyntax, NotThere
+from ..errors import BadSyntax, NotThere, QueryError
 from ..model import Entity, Model, Relation
 from ..plans.joined import Joined
 from ..sources.tables import Tables
@@ -15,6 +15,7 @@ from ..sources.tables import Tables
 #: Fixed value: characters that a backslash takes as themselves in a segment.
 SPECIAL = re.compile(r"([\\/\[\];])")
 SEGMENT = re.compile(r"\[((?:[^\\\]]|\\.)*)\]((?:[^\\;/]|\\.)*)(?:;((?:[^\\/]|\\.)*))?")
+#: Levels of a path. Only where entities lie in entities of their kind is it ever met, and then it is an error, not an end.
 MOST_STEPS = 32
 
 
@@ -27,11 +28,15 @@ def _escaped(column: Column) -> Column:
     return F.regexp_replace(column.cast("string"), r"([\\/\[\];])", r"\\$1")
 
 
-def created(model: Model, tables: Tables, entity: str, ids=None) -> DataFrame:
-    """(id, path) of an entity's instances; a chain of joins upward, one for each level of the model."""
+def created(model: Model, tables: Tables, entity: str, ids=None, most_steps: int = MOST_STEPS) -> DataFrame:
+    """(id, path) of an entity's instances; a chain of joins upward, one for each level of the model.
+
+    Where the chain comes back to an entity, levels are added as long as an instance has a parent
+    there; one that has more than most_steps levels, or is above itself, is an error.
+    """
     joined = Joined(model, tables, model.entity(entity))
-    node, parts = joined.root, []
-    for _ in range(MOST_STEPS):
+    node, parts, seen = joined.root, [], set()
+    while True:
         e = node.entity
         name, version = e.attribute("name") or e.id, e.attribute("version")
         text = F.concat(F.lit(f"/[{SPECIAL.sub(r'\\\1', e.name)}]"), _escaped(node.col(name.name)))
@@ -39,8 +44,11 @@ def created(model: Model, tables: Tables, entity: str, ids=None) -> DataFrame:
             text = F.concat(text, F.when(node.col(version.name).isNotNull(), F.concat(F.lit(";"), _escaped(node.col(version.name)))).otherwise(""))
         parts.append(F.when(node.col(e.id.name).isNotNull(), text).otherwise(""))
         up = father(e)
-        if up is None:
+        if up is None or (e.name in seen and joined.df.where(node.col(up.name).isNotNull()).isEmpty()):
             break
+        if len(parts) >= most_steps:
+            raise QueryError(f"paths of {entity} have more than {most_steps} levels")
+        seen.add(e.name)
         node = joined.step(node, up, True)
     key = joined.root.col(joined.root.entity.id.name)
     df = joined.df if ids is None else joined.df.where(key.isin(list(ids)))

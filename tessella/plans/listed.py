@@ -10,7 +10,7 @@ from .. import types
 from ..errors import BadSyntax
 from .conditions import Comparer
 from .joined import Joined
-from .output import AGGREGATES, OTHERS, Selection, Wanted, rows
+from .output import AGGREGATES, OTHERS, Selection, Wanted, all_attributes, rows
 
 #: Limits that hold if a query says none.
 ROW_LIMIT, SEQ_LIMIT = 10_000, 50
@@ -101,7 +101,8 @@ def frame(model, table, query: dict) -> DataFrame:
     joined = Joined(model, table, model.entity(query["entity"]))
     comparer = Comparer(joined)
     where = Tokens(comparer, list(query.get("conditions") or [])).read()
-    attributes = [] if "*" in (query.get("attributes") or ["*"]) else [_attribute(a) for a in query["attributes"]]
+    every = all_attributes(joined.root)  # what a * stands for, beside whatever else is listed
+    attributes = [w for a in query.get("attributes") or [] for w in (every if a.strip() == "*" else [_attribute(a)])]
     selection = Selection(
         attributes, [_directed(o) for o in query.get("orderBy") or []], [path_of(g) for g in query.get("groupBy") or []],
         query.get("rowMaxCount", ROW_LIMIT), query.get("rowSkipCount", 0), query.get("seqMaxCount", SEQ_LIMIT), query.get("seqSkipCount", 0),

@@ -72,7 +72,7 @@ def tables(spark) -> Tables:
     ], "id long, name string, doubles array<double>, flags array<smallint>, parameters array<double>, kind int, rows int, independent smallint, submatrix long")
     channels = channels.join(unknown, F.col("id") == F.col("key")).drop("key")
     return Tables(spark, given={
-        "tests": make([(2, "CFMA-L8", "2.1", "Madrid"), (3, "HAVC_PRT_KL EP", "1.5", "Austin"), (4, "CFMA-L9", "1.2", "Milan"), (5, "cfma%x", None, None)], "id long, name string, version string, location string"),
+        "tests": make([(2, "BRKT-L8", "2.1", "Lund"), (3, "HEAT_EXT_07 B", "1.5", "Bern"), (4, "BRKT-L9", "1.2", "Perth"), (5, "brkt%x", None, None)], "id long, name string, version string, location string"),
         "steps": make([(10, "s10", "1", 2, None), (11, "s11", None, 2, 10), (12, "s12", "1", 3, 11), (13, "s13", "1", None, 12)], "id long, name string, version string, bed long, parent long"),
         "runs": make([(20, "r20", day(2010, 4, 5, 23, 44), 1500.0, 10), (21, "r21", day(2011, 6, 1), 20.0, 11), (22, "r22", None, None, 12)], "id long, name string, begin timestamp_ntz, scale double, step long"),
         "quantities": make([(30, "Time", 7, 0.0, 1.0, 20, 1), (31, "Speed", 8, -5.5, 9.0, 20, None), (32, "time", 11, 2.0, 3.0, 21, 2), (33, "Load", 7, None, None, 22, None)], "id long, name string, datatype int, minimum double, maximum double, run long, unit long"),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,11 +37,37 @@ class Store:
             skips = {"rows": options.get("$rowskip", 0), "seqs": options.get("$seqskip", 0)}
         return matrices.encoded(self.model, self.query(query), accept, **skips)
 
+    def matrix_pages(self, query: dict, keys: list[str], size: int = 10_000, accept: str = "application/json") -> Iterator[dict | str]:
+        """The same for a large result, in pages of at most size rows in the order of the keys, which the query puts out.
+
+        What reaches the driver at a time is one page.
+        """
+        last = None
+        while True:
+            page = self.page(query, keys, last, size)
+            rows = page.collect()
+            if rows or last is None:
+                yield matrices.encoded(self.model, self.spark.createDataFrame(rows, page.schema), accept)
+            if len(rows) < size:
+                return
+            last = [rows[-1][k] for k in keys]
+
     def sql(self, text: str, **parameters) -> DataFrame:
-        """An SQL query over the entities, each a view of its application name with its attributes as columns."""
-        for e in self.model.entities.values():
-            self.entity(e.name).createOrReplaceTempView(e.name)
-        return self.spark.sql(text, args=parameters or None)
+        """An SQL query over the entities, each a view of its application name with its attributes as columns.
+
+        Only entities that the text names become views, and only until the query is analysed; a
+        view of the caller's that has such a name holds.
+        """
+        words = {w.lower() for w in re.findall(r"\w+", text)}
+        own = {t.name.lower() for t in self.spark.catalog.listTables() if t.isTemporary}
+        views = [e.name for e in self.model.entities.values() if e.name.lower() in words - own]
+        for name in views:
+            self.entity(name).createTempView(name)
+        try:
+            return self.spark.sql(text, args=parameters or None)
+        finally:
+            for name in views:
+                self.spark.catalog.dropTempView(name)
 
     def entity(self, name: str) -> DataFrame:
         """All rows of an entity, columns named as its attributes and to-one relations."""

@@ -8,7 +8,7 @@ from tessella.errors import BadSyntax, BadValue, ConstraintError, NotThere, Quer
 from tessella.functions import bulk, text
 from tessella.model import Attribute, Entity, Model, Relation
 from tessella.operators import channels, contents, matrices, paths
-from tessella.operators.changes import Changes, Snapshots
+from tessella.operators.changes import Changes, Snapshots, children, rows_of, updated
 from tessella.operators.sessions import Connections, Context
 from tessella.sources.tables import Tables
 from tessella.store import Store
@@ -32,11 +32,11 @@ def names(changes, entity="TestBed", attribute="Name"):
 
 def test_changes_of_instances(changes):
     changes.insert("TestBed", {"Id": [7], "Name": ["new"], "Version": [None]})
-    assert names(changes) == ["CFMA-L8", "CFMA-L9", "HAVC_PRT_KL EP", "cfma%x", "new"]
+    assert names(changes) == ["BRKT-L8", "BRKT-L9", "HEAT_EXT_07 B", "brkt%x", "new"]
     changes.update("TestBed", {"Id": [7, 2], "name": ["newer", "first"]})
     changes.delete("TestBed", [3, 4])
-    assert names(changes) == ["cfma%x", "first", "newer"]
-    assert names(changes, attribute="Location") == ["Madrid", None, None]
+    assert names(changes) == ["brkt%x", "first", "newer"]
+    assert names(changes, attribute="Location") == ["Lund", None, None]
     with pytest.raises(ConstraintError):
         changes.insert("TestBed", {"Id": [7], "Name": ["again"]})
     with pytest.raises(ConstraintError):
@@ -57,9 +57,9 @@ def test_transactions(changes):
     with pytest.raises(TransactionActive):
         changes.start()
     changes.delete("TestBed", [2])
-    assert "CFMA-L8" not in names(changes)
+    assert "BRKT-L8" not in names(changes)
     changes.abort()
-    assert "CFMA-L8" in names(changes)
+    assert "BRKT-L8" in names(changes)
     with pytest.raises(TransactionNotActive):
         changes.commit()
     changes.start()
@@ -67,7 +67,7 @@ def test_transactions(changes):
     changes.insert("Unit", {"id": [9], "name": ["kg"]})
     assert changes.snapshots.current() == {}
     changes.commit()
-    assert set(changes.snapshots.current()) == {"tests", "units"} and "CFMA-L8" not in names(changes)
+    assert set(changes.snapshots.current()) == {"tests", "units"} and "BRKT-L8" not in names(changes)
 
 
 def test_relations_and_vectors(changes):
@@ -99,7 +99,7 @@ def test_plain_matrices(store):
     made = store.matrices({"TestBed": {"Id": {"$lt": 5}}, "$attributes": {"Name": 1, "Id": 1, "Version": 1}, "$orderby": {"Id": 1}, "$options": {"$rowskip": 1}})
     (matrix,) = made["matrices"]
     assert (matrix["name"], matrix["baseName"], matrix["rowSkipCount"]) == ("TestBed", "AoTest", 1)
-    assert matrix["columns"][0] == {"name": "Name", "baseName": "name", "aggregate": "NONE", "values": {"dataType": "DT_STRING", "strVal": ["HAVC_PRT_KL EP", "CFMA-L9"]}}
+    assert matrix["columns"][0] == {"name": "Name", "baseName": "name", "aggregate": "NONE", "values": {"dataType": "DT_STRING", "strVal": ["HEAT_EXT_07 B", "BRKT-L9"]}}
     assert matrix["columns"][1]["values"] == {"dataType": "DT_ID", "numVal": [3, 4]}
     two = store.matrices({"Run": {}, "$attributes": {"Name": 1, "Begin": 1, "Step.Name": 1, "Step": 1}, "$orderby": {"Id": 1}})["matrices"]
     assert [m["name"] for m in two] == ["Run", "Step"]
@@ -210,7 +210,7 @@ def test_contents(store, spark, tmp_path):
 
 def test_paths(store):
     made = {r["id"]: r["path"] for r in paths.created(store.model, store.tables, "Step").collect()}
-    assert made[10] == "/[TestBed]CFMA-L8;2.1/[Step]s10;1" and made[11] == "/[TestBed]CFMA-L8;2.1/[Step]s11" and made[13] == "/[Step]s13;1"
+    assert made[10] == "/[TestBed]BRKT-L8;2.1/[Step]s10;1" and made[11] == "/[TestBed]BRKT-L8;2.1/[Step]s11" and made[13] == "/[Step]s13;1"
     for key in (10, 11, 12):
         assert [tuple(r) for r in paths.resolved(store.model, store.tables, made[key]).collect()] == [("Step", key)]
     assert paths.parsed(r"/[A\]b]x\/y\;z;v1") == [("A]b", "x/y;z", "v1")]
@@ -272,3 +272,66 @@ def test_model_changes(spark):
     assert m.entity("Nation").relation("notes") is None and m.check() == []
     with pytest.raises(QueryError):
         m.remove_enumeration("quality_enum")
+
+
+def test_changes_that_name_an_id_twice(spark):
+    store = measurements.store(spark)
+    e = store.model.entity("TestBed")
+    with pytest.raises(QueryError):
+        updated(store.model, e, store.tables(e.table), rows_of(spark, store.model, e, {"Id": [2, 2], "Name": ["a", "b"]}))
+
+
+def steps_in_steps(parent="FATHER_CHILD", bed="FATHER_CHILD"):
+    from dataclasses import replace
+
+    model = measurements.model()
+    step = model.entities["Step"]
+    step.relations.update({n: replace(r, kind=parent if n in ("Parent", "Parts") else bed) for n, r in step.relations.items()})
+    return model
+
+
+def test_recursive_delete_of_steps_in_steps(spark):
+    model, tables = steps_in_steps(), measurements.tables(spark)
+    below = lambda name, id: {n: sorted(r[0] for r in df.collect()) for n, df in children(model, tables, model.entity(name), spark.createDataFrame([(id,)], "id long")).items()}
+    assert below("Step", 11) == {"Step": [12, 13]} and below("Step", 13) == {"Step": []}
+    assert below("TestBed", 2)["Step"] == [10, 11, 12, 13]
+
+
+def test_a_broken_change_leaves_nothing(spark, tmp_path):
+    import os
+
+    store = measurements.store(spark)
+    changes = Changes(store.model, store.tables, Snapshots(spark, f"file://{tmp_path}"))
+    changes.insert("TestBed", {"Id": [7], "Name": ["seven"]})
+    kept = sorted(os.listdir(tmp_path / "tests"))
+    for columns in ({"Id": [7], "Name": ["again"]}, {"Id": [8], "Name": [None]}):
+        with pytest.raises(ConstraintError):
+            changes.insert("TestBed", columns)
+    assert sorted(x for x in os.listdir(tmp_path / "tests") if not x.startswith(".")) == kept
+
+
+def test_two_commits_at_once(spark, tmp_path):
+    store = measurements.store(spark)
+    snapshots = Snapshots(spark, f"file://{tmp_path}")
+    snapshots.commit({"tests": store.tables("tests")})
+    version, before = snapshots.version()
+    written = [snapshots.write({"units": store.tables("units")}) for _ in range(2)]
+    snapshots.point(written[0], before, version)
+    with pytest.raises(QueryError):
+        snapshots.point(written[1], before, version)
+    assert snapshots.current() == before | written[0]
+    (tmp_path / "_pointers" / f"{version + 2:012d}").touch()  # a commit that broke off
+    assert snapshots.current() == before | written[0]
+    with pytest.raises(QueryError):
+        snapshots.commit({"units": store.tables("units")})
+
+
+def test_paths_of_things_in_things(spark):
+    """Levels are added while there are any; too many are an error."""
+    model = steps_in_steps(bed="INFO")
+    rows = spark.createDataFrame([(k, f"s{k}", None, None, k - 1 if k else None) for k in range(6)], "id long, name string, version string, bed long, parent long")
+    tables = Tables(spark, given={"steps": rows})
+    found = {r["id"]: r["path"] for r in paths.created(model, tables, "Step").collect()}
+    assert found[5] == "".join(f"/[Step]s{k}" for k in range(6)) and found[0] == "/[Step]s0"
+    with pytest.raises(QueryError):
+        paths.created(model, tables, "Step", most_steps=5)

@@ -38,22 +38,22 @@ def test_names_and_numbers(store):
 
 @pytest.mark.parametrize("condition, expected", [
     ({"Id": {"$in": [2, "4"]}}, [2, 4]),
-    ({"name": {"$like": "CFMA*"}}, [2, 4]),
-    ({"name": {"$like": "cfma*", "$options": "i"}}, [2, 4, 5]),
-    ({"name": {"$like": "cfma\\%?"}}, [5]),
-    ({"name": {"$like": "cfma\\??"}}, []),
+    ({"name": {"$like": "BRKT*"}}, [2, 4]),
+    ({"name": {"$like": "brkt*", "$options": "i"}}, [2, 4, 5]),
+    ({"name": {"$like": "brkt\\%?"}}, [5]),
+    ({"name": {"$like": "brkt\\??"}}, []),
     ({"name": {"$like": "*%?"}}, [5]),
-    ({"name": {"$eq": "cfma-l8", "$options": "i"}}, [2]),
-    ({"name": {"$notlike": "CFMA*"}}, [3, 5]),
+    ({"name": {"$eq": "brkt-l8", "$options": "i"}}, [2]),
+    ({"name": {"$notlike": "BRKT*"}}, [3, 5]),
     ({"version": {"$null": 1}}, [5]),
     ({"version": {"$notnull": 1}}, [2, 3, 4]),
     ({"version": {"$neq": "2.1"}}, [3, 4]),
     ({"version": {"$notin": ["2.1", "1.5"]}}, [4]),
     ({"version": {"$between": ["1.2", "2.1"]}}, [3, 4]),
-    ({"$not": {"name": {"$like": "CFMA*"}}}, [3, 5]),
-    ({"$or": [{"name": "CFMA-L8"}, {"version": "1.5", "Location": "Austin"}]}, [2, 3]),
+    ({"$not": {"name": {"$like": "BRKT*"}}}, [3, 5]),
+    ({"$or": [{"name": "BRKT-L8"}, {"version": "1.5", "Location": "Bern"}]}, [2, 3]),
     ({"$and": [{"id": {"$gt": 2}}, {"id": {"$lte": 4}}]}, [3, 4]),
-    ({"name": ["CFMA-L8", "CFMA-L9"]}, [2, 4]),
+    ({"name": ["BRKT-L8", "BRKT-L9"]}, [2, 4]),
     ({"children": 12}, [3]),
     ({}, [2, 3, 4, 5]),
 ])
@@ -70,7 +70,7 @@ def test_conditions(store, condition, expected):
     ({"scale": {"$unit": 1, "$lt": "100"}}, [21]),
     ({"test": 11}, [21]),
     ({"test.id": {"$in": [10, 12]}}, [20, 22]),
-    ({"test.parent_test.name": "CFMA-L8"}, [20, 21]),
+    ({"test.parent_test.name": "BRKT-L8"}, [20, 21]),
     ({"test.Parent.Parent.name": "s10"}, [22]),
     ({"test": {"$or": [{"name": "s10"}, {"version": {"$null": 1}}]}}, [20, 21]),
     ({"test.Parent:OUTER.name": {"$null": 1}}, [20]),
@@ -93,11 +93,11 @@ def test_joins(store):
     outer = got(store, {"Quantity": {}, "$attributes": {"name": 1, "unit:OUTER.name": 1}})
     assert inner == [("Time", "s"), ("time", "m")] and len(outer) == 4
     down = got(store, {"TestBed": {}, "$attributes": {"Name": 1, "children.Name": 1}})
-    assert down == [("CFMA-L8", "s10"), ("CFMA-L8", "s11"), ("HAVC_PRT_KL EP", "s12")]
+    assert down == [("BRKT-L8", "s10"), ("BRKT-L8", "s11"), ("HEAT_EXT_07 B", "s12")]
     assert got(store, {"TestBed": 2, "$attributes": {"children": 1}}) == [([10, 11],)]
     assert got(store, {"TestBed": 5, "$attributes": {"children": 1}}) == [([],)]
     both = got(store, {"Contact": {}, "$attributes": {"Name": 1, "Beds.Name": 1}})
-    assert both == [("ann", "CFMA-L8"), ("ann", "CFMA-L9"), ("bob", "CFMA-L9")]
+    assert both == [("ann", "BRKT-L8"), ("ann", "BRKT-L9"), ("bob", "BRKT-L9")]
     assert got(store, {"Contact": {}, "$attributes": {"Id": 1, "Beds": 1}}) == [(1, [2, 4]), (2, [4])]
     # The first to name a prefix says how it is joined: the condition, then the attributes.
     first = {"Quantity": {"unit:OUTER.name": {"$null": 1}}, "$attributes": {"name": 1, "unit.name": 1}}
@@ -182,10 +182,10 @@ def test_bad_values(store, condition):
 
 
 @pytest.mark.parametrize("query, expected", [
-    ({"entity": "TestBed", "conditions": ["Name = CFMA*"], "attributes": ["Id"]}, [(2,), (4,)]),
-    ({"entity": "AoTest", "conditions": ["$ci", "name = cfma*"], "attributes": ["Id"]}, [(2,), (4,), (5,)]),
-    ({"entity": "AoTest", "conditions": ["$ci", "name == cfma-l8", "$cs", "$or", "name == cfma-l9"], "attributes": ["Id"]}, [(2,)]),
-    ({"entity": "AoTest", "conditions": ["name <> CFMA*"], "attributes": ["Id"]}, [(3,), (5,)]),
+    ({"entity": "TestBed", "conditions": ["Name = BRKT*"], "attributes": ["Id"]}, [(2,), (4,)]),
+    ({"entity": "AoTest", "conditions": ["$ci", "name = brkt*"], "attributes": ["Id"]}, [(2,), (4,), (5,)]),
+    ({"entity": "AoTest", "conditions": ["$ci", "name == brkt-l8", "$cs", "$or", "name == brkt-l9"], "attributes": ["Id"]}, [(2,)]),
+    ({"entity": "AoTest", "conditions": ["name <> BRKT*"], "attributes": ["Id"]}, [(3,), (5,)]),
     ({"entity": "AoTest", "conditions": ["Id >= 3", "Id < 5"], "attributes": ["Id"]}, [(3,), (4,)]),
     ({"entity": "AoTest", "conditions": ["$not", "$open", "Id = 3", "$or", "Id = 4", "$close", "$and", "Id != 5"], "attributes": ["Id"]}, [(2,)]),
     ({"entity": "Quantity", "conditions": ["measurement.name = r20"], "attributes": ["name", "OUTER(unit).name"]}, [("Speed", None), ("Time", "s")]),

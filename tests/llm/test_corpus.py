@@ -335,6 +335,26 @@ def test_mix(spark, docs, bucket_rows):
     assert sum(count(r["text"]) for r in out) == sum(r["taken"] for r in found) and all(r["n_chars"] == len(r["text"]) for r in out)
 
 
+@pytest.mark.parametrize("bucket_rows", [3, 4096])
+def test_taken_of_a_table(spark, bucket_rows):
+    """Each document's words, by plain means: in the order of the keys, whole epochs and then up to the budget."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    keys = {r["doc_id"]: r["key"] % 2**64 for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit("mix")).alias("key")).collect()}
+    by, sizes = defaultdict(list), defaultdict(int)
+    for r in docs.collect():
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+        by[r["source"]].append((keys[r["doc_id"]], r["doc_id"], n))
+        sizes[r["source"]] += n
+    expected = {}
+    for source, target in brute_targets(sizes).items():
+        budget = min(int(target + 0.5), 2 * sizes[source])
+        whole, left = divmod(budget, sizes[source]) if sizes[source] else (0, 0)
+        for _, doc_id, n in sorted(by[source]):
+            expected[doc_id] = whole * n + min(n, left)
+            left -= min(n, left)
+    assert {r["doc_id"]: r["taken"] for r in mixing.mix(docs, bucket_rows=bucket_rows).collect()} == expected
+
+
 def test_targets(spark):
     rng = np.random.default_rng(8)
     for case in range(4):

@@ -170,3 +170,75 @@ def test_aliases(spark):
     # One allowed member is enough for those without a rule of their own; rules of their own stay.
     found = {r["page_id"]: r["verdict"] for r in urls.judge(rows, RULES, edges=urls.page_links(rows)).collect()}
     assert found == {1: "allow", 2: "allow", 3: "allow", 4: "allow", 5: "allow", 6: "allow", 7: "block", 8: "allow"}
+
+
+def test_links_that_are_none():
+    page = """<head><!-- <link rel="canonical" href="http://a.net/1"> --><script>var x = '<link rel=canonical href="http://a.net/2">';</script>
+    <style><link rel=canonical href=http://a.net/3></style><noscript><link rel=canonical href=http://a.net/4></noscript><link rel="stylesheet canonical" title="a > b" HREF='/5?x&amp;y'>
+    <meta http-equiv=Refresh content="3;URL='http://a.net/6'"><meta http-equiv="refresh" content="3"><title><link rel=canonical href=http://a.net/7></title><link rel=canonical><textarea><link rel=canonical href=/8>"""
+    assert urls.targets_of(page) == ["/5?x&y", "http://a.net/6"]
+
+
+def plain_key(url):
+    scheme, found, rest = url.partition("://")
+    if not found:
+        return None
+    rest = rest.split("#")[0]
+    cut = min([k for k in (rest.find("/"), rest.find("?")) if k >= 0], default=len(rest))
+    return f"{scheme.lower()}://{rest[:cut].lower()}{rest[cut:]}"
+
+
+def plain_rule(url):
+    host = re.match(r"(?s).*?://([^/?#]*)", url)
+    path = re.match(r"(?s).*?://[^/?#]*([^?#]*)", url)
+    host, path = (host[1].lower(), path[1]) if host else ("", "")
+    fits = [(len(h + p), v, h + p) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fits, default=None)
+
+
+def test_aliases_of_whole_tables(spark):
+    """Canonical and refresh chains on every page of a table, and all verdicts by plain means."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    found = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()
+    addresses = [r["url"] for r in found if r["url"]]
+    pages, pairs = [], []
+    for k, r in enumerate(found):
+        page = r["html"] or ""
+        # Chains of three to thirty pages, some to urls of no page; every fifth link stands in a comment.
+        target = None if k % 30 == 0 or not r["url"] else rng.choice([addresses[k - 1], f"http://none{k % 7}.net/x", addresses[k - 1] + "#part"])
+        if target:
+            tag = f'<link rel="canonical" href="{target.replace("&", "&amp;")}">' if k % 2 else f'<meta http-equiv="refresh" content="0; url={target.replace("&", "&amp;")}">'
+            page = page.replace("</head>", (f"<!-- {tag} -->" if k % 5 == 0 else tag) + "</head>", 1)
+            if k % 5 and "</head>" in page:
+                pairs.append((plain_key(r["url"]), plain_key(target)))
+        pages.append((r["page_id"], r["url"], page))
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    said = {}
+    for key in list(root):
+        if own := plain_rule(key):
+            said.setdefault(find(key), set()).add(own[1])
+    expected, through = {}, 0
+    for page_id, url, _ in pages:
+        own = plain_rule(url or "")
+        verdicts = said.get(find(plain_key(url))) if url and plain_key(url) in root else None
+        expected[page_id] = own[1] if own else "allow" if not verdicts or "allow" in verdicts else "block"
+        through += own is None and verdicts == {"block"}
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(rows, RULES, edges=urls.page_links(rows)).collect()}
+    assert got == expected and len(pairs) > 100 and through > 0
+    # The registered query on such a table.
+    from tessella.llm import queries
+
+    assert rows.where(F.lower("html").contains("canonical")).count() > 50 and queries.URL_RULES == RULES

@@ -81,8 +81,7 @@ def _remove_written() -> None:
         with contextlib.suppress(Exception):  # the JVM may be gone; the folder is scratch space
             if table:
                 spark.sql(f"DROP TABLE IF EXISTS {table}")
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _removed(spark, folder)
 
 
 def scratch(spark: SparkSession, folder: str, table: str | None = None) -> str:
@@ -112,17 +111,20 @@ def shuffles_removed(spark: SparkSession):
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read back: the lineage ends there."""
+    return _staged(df, name)[0]
+
+
+def _staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = stage_path(spark, name)
     with shuffles_removed(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A small df's reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _removed(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -132,14 +134,15 @@ def components(edges: DataFrame) -> DataFrame:
     between two different ids, the smallest id that it reaches. Self-loops, repeated
     edges and nulls are ignored. Every round only aggregates minima per node and
     joins them back, so a node with very many neighbours is a skewed join that
-    adaptive execution splits, never a group in one task.
+    adaptive execution splits, never a group in one task. A round is a table in the
+    shared folder, and goes when the next one is written.
     """
     now = (
         edges.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
-    now = checkpointed(now)
+    now, folder = _staged(now, "edges")
     before = None
     while True:
         size = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -160,7 +163,9 @@ def components(edges: DataFrame) -> DataFrame:
             .unionAll(low.select("a", F.col("m").alias("b")))
             .where("a <> b").distinct()
         )
-        now = checkpointed(now)
+        last = folder
+        now, folder = _staged(now, "edges")
+        _removed(now.sparkSession, last)
     roots = now.select("b").distinct()
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(
         roots.select(F.col("b").alias("id"), F.col("b").alias("component"))

@@ -252,3 +252,33 @@ def test_condition_trees(spark, condition):
     nations = catalogue.store(spark, "/root/testdata/sf0.001")
     rows = [{"id": r[0], "name": r[1], "region": r[2]} for r in nations.query({"Nation": {}}).collect()]
     assert ids(nations, "Nation", condition, "id") == sorted((r["id"] for r in rows if holds(condition, r)), key=lambda x: str((x,)))
+
+
+def test_star_beside_other_attributes(spark):
+    store = measurements.store(spark)
+    plain = store.query({"entity": "TestBed"}).columns
+    found = store.query({"entity": "TestBed", "attributes": ["*", "OUTER(Steps).Name"]})
+    assert found.columns[: len(plain)] == plain and len(found.columns) == len(plain) + 1
+
+
+def test_matrix_pages(spark):
+    store = measurements.store(spark)
+    query = {"Step": {}, "$attributes": {"Id": 1, "Name": 1}}
+    pages = list(store.matrix_pages(query, ["Id"], 3))
+    columns = [[c["values"] for c in m["columns"]] for p in pages for m in p["matrices"]]
+    ids = [x for c in columns for x in next(v for k, v in c[0].items() if k != "dataType")]
+    assert len(pages) == 2 and ids == [10, 11, 12, 13]
+    whole = store.matrices(query)["matrices"][0]["columns"][0]
+    assert pages[0]["matrices"][0]["columns"][0]["values"]["dataType"] == whole["values"]["dataType"]
+    assert [m["columns"] for p in store.matrix_pages({"Step": {"Id": 999}, "$attributes": {"Id": 1}}, ["Id"], 3) for m in p["matrices"]][0][0]["name"] == "Id"
+
+
+def test_views_of_sql_are_its_own(spark):
+    store = measurements.store(spark)
+    spark.range(3).createOrReplaceTempView("Unit")
+    try:
+        assert store.sql("SELECT count(*) FROM Unit").first()[0] == 3  # the caller's view holds
+        assert store.sql("SELECT count(*) AS n FROM Step JOIN TestBed ON Step.Bed = TestBed.Id").first()["n"] == 3
+        assert not {"Step", "TestBed", "step", "testbed"} & {t.name for t in spark.catalog.listTables()}
+    finally:
+        spark.catalog.dropTempView("Unit")
